@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quireflow.llm import repetition
+from quireflow.llm import bpe, repetition
 
-QUERIES = {"op1_repetition": repetition.op1_repetition}
+QUERIES = {"op1_repetition": repetition.op1_repetition, "op5_bpe": bpe.op5_bpe}
 ORACLES = {"op1_repetition": repetition.SQL}
