@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quireflow.llm import bpe, repetition
+from quireflow.llm import bpe, pii, repetition
 
-QUERIES = {"op1_repetition": repetition.op1_repetition, "op5_bpe": bpe.op5_bpe}
+QUERIES = {"op1_repetition": repetition.op1_repetition, "op5_bpe": bpe.op5_bpe, "op6_pii": pii.op6_pii}
 ORACLES = {"op1_repetition": repetition.SQL}
