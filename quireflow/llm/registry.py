@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quireflow.llm import bpe, pii, repetition, winnow
+from quireflow.llm import bpe, pii, quality, repetition, winnow
 
-QUERIES = {"op1_repetition": repetition.op1_repetition, "op5_bpe": bpe.op5_bpe, "op6_pii": pii.op6_pii, "op9_winnowing": winnow.op9_winnowing}
+QUERIES = {"op1_repetition": repetition.op1_repetition, "op2_pu_quality": quality.op2_pu_quality, "op5_bpe": bpe.op5_bpe, "op6_pii": pii.op6_pii, "op9_winnowing": winnow.op9_winnowing}
 ORACLES = {"op1_repetition": repetition.SQL, "op9_winnowing": winnow.SQL}
