@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quireflow.llm import bpe, pii, quality, repetition, store, winnow
+from quireflow.llm import bpe, jaccard, pii, quality, repetition, store, winnow
 
-QUERIES = {"op1_repetition": repetition.op1_repetition, "op2_pu_quality": quality.op2_pu_quality, "op5_bpe": bpe.op5_bpe, "op6_pii": pii.op6_pii, "op7_token_store": store.op7_token_store, "op9_winnowing": winnow.op9_winnowing}
-ORACLES = {"op1_repetition": repetition.SQL, "op7_token_store": store.op7_token_store, "op9_winnowing": winnow.SQL}
+QUERIES = {"op1_repetition": repetition.op1_repetition, "op2_pu_quality": quality.op2_pu_quality, "op5_bpe": bpe.op5_bpe, "op6_pii": pii.op6_pii, "op7_token_store": store.op7_token_store, "op9_winnowing": winnow.op9_winnowing, "op10_jaccard_join": jaccard.op10_jaccard_join}
+ORACLES = {"op1_repetition": repetition.SQL, "op7_token_store": store.op7_token_store, "op9_winnowing": winnow.SQL, "op10_jaccard_join": jaccard.SQL}
