@@ -28,7 +28,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quireflow.llm import words as W
-from quireflow.llm.winnow import plain
 
 SAMPLE, BINS, KEEP, EPOCHS, SEED = 20_000, 1 << 16, 0.995, 24, 7
 _CLASSES = np.zeros(256, np.uint8)  # 0 letters and bytes above 127, 1 capitals, 2 digits, 3 white space, 4 common marks, 5 other marks
@@ -60,17 +59,17 @@ def features(texts: pa.Array) -> Features:
             dense[:, k - 1] = np.diff(upto[raw]) / np.maximum(size, 1)
     offsets, words = W.split(texts)
     count, owner = np.diff(offsets), W.owners(offsets)
-    hashed = W.hashes(words, plain)
+    hashed = W.hashes(words, plainly=True)
     twins = np.zeros(len(hashed), bool)
     twins[1:] = (hashed[1:] == hashed[:-1]) & (owner[1:] == owner[:-1])
-    order = np.lexsort((hashed, owner))
+    order = W.ordered(owner, hashed)
     new = np.ones(len(order), bool)
     new[1:] = (hashed[order][1:] != hashed[order][:-1]) | (owner[order][1:] != owner[order][:-1])
     distinct = np.bincount(owner[order][new], minlength=n)
     # of two words in a row, how many have been read before
     pairs = W.mix(hashed[:-1] * np.uint64(W.BASE) + hashed[1:]) if len(hashed) > 1 else np.zeros(0, np.uint64)
     pairs, of = pairs[owner[:-1] == owner[1:]], owner[:-1][owner[:-1] == owner[1:]] if len(hashed) > 1 else np.zeros(0, np.int64)
-    by = np.lexsort((pairs, of))
+    by = W.ordered(of, pairs)
     again = np.zeros(len(by), bool)
     again[1:] = (pairs[by][1:] == pairs[by][:-1]) & (of[by][1:] == of[by][:-1])
     some = np.maximum(count, 1)

@@ -28,13 +28,6 @@ K, WINDOW, MOST_BYTES = 6, 8, 32 << 20
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def plain(word: str) -> str:
-    return word.lower() if word.isalnum() else "".join(c for c in word.lower() if c.isalnum())
-
-
-_EMPTY = np.uint64(W.hash64(""))
-
-
 class Texts(NamedTuple):
     offsets: np.ndarray  #: into the words that count
     words: np.ndarray  #: their hashes
@@ -43,9 +36,9 @@ class Texts(NamedTuple):
 
 def read(column: pa.Array) -> Texts:
     offsets, words = W.split(W.flat(column))
-    hashed = W.hashes(words, plain)
+    hashed = W.hashes(words, plainly=True)
     places = np.arange(len(hashed)) - offsets[:-1][W.owners(offsets)]
-    full = hashed != _EMPTY
+    full = hashed != 0  # of no letters or digits
     if not full.all():
         offsets = np.concatenate([[0], np.cumsum(full)])[offsets]
         hashed, places = hashed[full], places[full]

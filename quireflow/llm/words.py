@@ -10,7 +10,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 
 #: A multiplier for rolling hashes: odd, so that it has an inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
@@ -51,20 +50,35 @@ def split(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return offsets, words
 
 
-def hash64(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+def plain(words: pa.Array) -> pa.Array:
+    """The words in lower case, without anything but letters and digits."""
+    words = pc.utf8_lower(words)
+    marked = pc.invert(pc.utf8_is_alnum(words))
+    return pc.replace_with_mask(words, marked, pc.replace_substring_regex(words.filter(marked), "[^\\p{L}\\p{N}]+", ""))
 
 
-def hashes(words: pa.Array, change=None) -> np.ndarray:
-    """A 64-bit hash of each word, the same in every batch. change: applied to each distinct word first."""
+_BYTES = np.random.default_rng(0xB17E5).integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
+
+
+def hash64(strings: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each string (no nulls), the same everywhere; that of the empty string is 0."""
+    offsets = np.frombuffer(strings.buffers()[1], np.int32, len(strings) + 1, strings.offset * 4).astype(np.int64)
+    if offsets[-1] == offsets[0]:
+        return np.zeros(len(strings), np.uint64)
+    data = np.frombuffer(strings.buffers()[2], np.uint8, offsets[-1] - offsets[0], offsets[0])
+    offsets = offsets - offsets[0]
+    up, down = np.full(len(data), _BASE), np.full(len(data) + 1, _INVERSE)
+    up[0] = down[0] = 1
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[data] * np.cumprod(up), dtype=np.uint64)])
+    return mix((sums[offsets[1:]] - sums[offsets[:-1]]) * np.cumprod(down)[offsets[:-1]])
+
+
+def hashes(words: pa.Array, plainly: bool = False) -> np.ndarray:
+    """A 64-bit hash of each word, the same in every batch. plainly: of its plain form."""
     if not len(words):
         return np.zeros(0, np.uint64)
     coded = words.dictionary_encode()
-    distinct = coded.dictionary.to_pylist()
-    if change:
-        distinct = map(change, distinct)
-    table = np.fromiter((hash64(x) for x in distinct), np.uint64, len(coded.dictionary))
-    return table[coded.indices.to_numpy()]
+    return hash64(plain(coded.dictionary) if plainly else coded.dictionary)[coded.indices.to_numpy()]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -108,3 +122,10 @@ def within(offsets: np.ndarray, k: int, total: int) -> np.ndarray:
 def ragged(values: np.ndarray, counts: np.ndarray, type_: pa.DataType) -> pa.ListArray:
     """Lists of the given lengths over the values."""
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values, type_))
+
+
+def ordered(owner: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The order by owner, then by value."""
+    by = np.argsort(values)
+    small = len(owner) and int(owner.max()) < 1 << 16  # numpy sorts those by radix
+    return by[np.argsort(owner[by].astype(np.uint16) if small else owner[by], kind="stable")]
