@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quireflow.plans import text_queries
+from quireflow.plans import text_queries, value_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**text_queries.QUERIES}
-ORACLES: dict[str, str] = {**text_queries.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**text_queries.QUERIES, **value_queries.QUERIES}
+ORACLES: dict[str, str] = {**text_queries.ORACLES, **value_queries.ORACLES}
