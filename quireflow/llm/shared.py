@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -29,3 +30,10 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows, written to the shared folder, without what they were made from."""
     folder(df.sparkSession)
     return df.checkpoint()
+
+
+def free(spark: SparkSession) -> None:
+    """Lets go of shuffle files of queries that are over: Spark drops them when the driver's JVM finds them unused, which
+    may else be long after the disks are full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
