@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quireflow.plans import text_queries, value_queries
+from quireflow.plans import page_queries, text_queries, value_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**text_queries.QUERIES, **value_queries.QUERIES}
-ORACLES: dict[str, str] = {**text_queries.ORACLES, **value_queries.ORACLES}
+_PARTS = (text_queries, value_queries, page_queries)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLES: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
