@@ -176,7 +176,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, k: int = K, window: in
     """The rows and columns of the documents that share no span with the benchmark."""
     if not _fits(benchmark, most_bytes):
         bad = shared(docs, benchmark, k, window, most_bytes).select(F.col("doc_id").alias("__bad_id")).distinct()
-        return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad_id")), "left_anti")
+        return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad_id"]), "left_anti")
     held = _collected(benchmark, k, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
