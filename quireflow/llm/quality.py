@@ -5,9 +5,10 @@ mixture. A linear scorer is fitted by minimising the non-negative unbiased risk
 sigmoid loss: pi * R+(positives) + max(0, R-(unlabelled) - pi * R-(positives)). The class prior pi is estimated from a
 first scorer that tells positives from unlabelled rows, by the best bin of Garg et al. (2021): the least, over
 thresholds, of the share of held-out unlabelled rows above one to that of held-out positives, each with its error bound.
-A document stays if its score is at least the one that ``KEEP`` of the held-out positives reach, or 0 if that is lower.
+A document stays if its score is at least the one that ``KEEP`` of the held-out positives reach.
 
-Features are shares of kinds of characters and of repeated words, and which words occur (in ``BINS`` hash bins). At most
+Features are shares of kinds of characters and of repeated words, which words occur (in ``BINS`` hash bins), and the
+log odds of the word that most speaks against a text. At most
 ``SAMPLE`` positives and as many unlabelled documents are read for fitting, those whose id hashes lowest; every
 document is scored, over its whole text.
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quireflow.llm import words as W
 
-SAMPLE, BINS, KEEP, EPOCHS, SEED = 20_000, 1 << 16, 0.995, 24, 7
+SAMPLE, BINS, KEEP, EPOCHS, SEED, SMOOTH = 20_000, 1 << 16, 0.99, 24, 7, 3.0
 _CLASSES = np.zeros(256, np.uint8)  # 0 letters and bytes above 127, 1 capitals, 2 digits, 3 white space, 4 common marks, 5 other marks
 for _bytes, _k in ((range(65, 91), 1), (range(48, 58), 2), ((9, 10, 11, 12, 13, 32), 3), (b".,;:'\"-?()", 4)):
     _CLASSES[list(_bytes)] = _k
@@ -82,7 +83,24 @@ def features(texts: pa.Array) -> Features:
     return Features(dense, np.bincount(of, minlength=n), bins)
 
 
+def odds(f: Features, positive: np.ndarray) -> np.ndarray:
+    """For each bin the smoothed log odds of a positive document having it to an unlabelled one."""
+    of = np.repeat(positive, f.counts)
+    p, u = (np.bincount(f.bins[of == x], minlength=BINS) for x in (True, False))
+    return np.log((p + SMOOTH) / (u * (positive.sum() / max(1, (~positive).sum())) + SMOOTH))
+
+
+def widened(f: Features, log_odds: np.ndarray) -> np.ndarray:
+    """The dense features and the least log odds of any word of each text, so that a few telling words in a long text count."""
+    least = np.zeros(len(f.counts))
+    full = f.counts > 0
+    if full.any():
+        least[full] = np.minimum.reduceat(log_odds[f.bins], (np.cumsum(f.counts) - f.counts)[full])
+    return np.column_stack([f.dense, np.minimum(least, 0.0)])
+
+
 class Model(NamedTuple):
+    log_odds: np.ndarray
     shift: np.ndarray
     scale: np.ndarray
     dense: np.ndarray
@@ -92,13 +110,13 @@ class Model(NamedTuple):
     prior: float
 
     def score(self, f: Features) -> np.ndarray:
-        out = ((f.dense - self.shift) / self.scale) @ self.dense + self.bias
+        out = ((widened(f, self.log_odds) - self.shift) / self.scale).clip(-8, 8) @ self.dense + self.bias
         upto = np.concatenate([[0.0], np.cumsum(self.bins[f.bins], dtype=np.float64)])
         ends = np.concatenate([[0], np.cumsum(f.counts)])
         return np.round(out + np.diff(upto[ends]) / np.sqrt(np.maximum(f.counts, 1)), 6)
 
 
-NOTHING = Model(np.zeros(DENSE), np.ones(DENSE), np.zeros(DENSE), np.zeros(BINS), 0.0, 0.0, 1.0)
+NOTHING = Model(np.zeros(BINS), np.zeros(DENSE + 1), np.ones(DENSE + 1), np.zeros(DENSE + 1), np.zeros(BINS), 0.0, 0.0, 1.0)
 
 
 def _rows(f: Features, rows: np.ndarray) -> Features:
@@ -110,9 +128,11 @@ def _rows(f: Features, rows: np.ndarray) -> Features:
 def _fit(f: Features, positive: np.ndarray, prior: float | None, epochs: int = EPOCHS) -> Model:
     """By non-negative risk with the given prior; without one, positives against the rest by the plain sigmoid risk."""
     rng = np.random.default_rng(SEED)
+    log_odds = odds(f, positive)
+    f = f._replace(dense=widened(f, log_odds))
     shift, scale = f.dense.mean(0), np.maximum(f.dense.std(0), 1e-3)
-    w, v, b = np.zeros(DENSE), np.zeros(BINS), 0.0
-    moments = [[np.zeros(DENSE), np.zeros(DENSE)], [np.zeros(BINS), np.zeros(BINS)], [0.0, 0.0]]
+    w, v, b = np.zeros(DENSE + 1), np.zeros(BINS), 0.0
+    moments = [[np.zeros(DENSE + 1), np.zeros(DENSE + 1)], [np.zeros(BINS), np.zeros(BINS)], [0.0, 0.0]]
     step, n = 0, len(positive)
     size = max(32, min(1024, n // 8))
     share = positive.mean()
@@ -154,7 +174,7 @@ def _fit(f: Features, positive: np.ndarray, prior: float | None, epochs: int = E
                     v = v - change
                 else:
                     b = b - float(change)
-    return Model(shift, scale, w, v, b, 0.0, prior if prior is not None else float(share))
+    return Model(log_odds, shift, scale, w, v, b, 0.0, prior if prior is not None else float(share))
 
 
 def best_bin(positives: np.ndarray, unlabelled: np.ndarray) -> float:
@@ -200,7 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     prior = best_bin(first[positive[test]], first[~positive[test]])
     model = _fit(_rows(f, train), positive[train], prior)
     scores = np.sort(model.score(_rows(f, test))[positive[test]])
-    return model._replace(threshold=float(min(0.0, scores[int(len(scores) * (1 - KEEP))])))
+    return model._replace(threshold=float(scores[int(len(scores) * (1 - KEEP))]))
 
 
 def _scored(batch: pa.RecordBatch, model: Model) -> np.ndarray:
