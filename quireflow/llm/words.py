@@ -16,7 +16,7 @@ BASE = 0x9E3779B97F4A7C15
 _BASE = np.uint64(BASE)
 _INVERSE = np.uint64(pow(BASE, -1, 1 << 64))
 #: Text bytes that are held as words at a time; a longer text is still handled whole.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def flat(column: pa.Array | pa.ChunkedArray) -> pa.Array:
@@ -36,6 +36,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
     for a, b in zip(edges, edges[1:]):
         if b > a:
             yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()  # a worker lives on, beside others
 
 
 def split(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
