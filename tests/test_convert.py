@@ -38,7 +38,7 @@ FILES: dict[str, bytes] = {
     "latin.ini": b"name = caf\xe9\n",
     "latin.txt": b"caf\xe9\n",
     "page.html": b"<h1>Big</h1><p>Some <b>text</b> that goes on.</p><ol><li>one</li></ol>",
-    "memo.docx": docx(("Title", "Memo Title"), ("Normal", "Plain words.")),
+    "memo.docx": docx(("Title", "Memo Title"), ("Normal", "Plain words."), ("Normal", "and more of them.")),
     "memo.rtf": rb"{\rtf1\ansi{\fonttbl{\f0 Arial;}}\fs48 Loud\par\fs24 quiet caf\'e9\par more\par more\par}",
     "scan.png": b"\x89PNG",
     "paper.pdf": b"%PDF",
@@ -76,7 +76,7 @@ def test_folder_to_markdown(spark, source, tmp_path):
     assert read("tool.py") == "# Tool\n\n``````\nprint('`````')\n``````\n"
     assert read("latin.ini") == "# Latin\n\n- name: café\n"
     assert read("page.html") == "# Big\n\nSome text that goes on.\n\n1. one\n"
-    assert read("memo.docx") == "# Memo Title\n\nPlain words.\n"
+    assert read("memo.docx") == "# Memo Title\n\nPlain words.\n\nand more of them.\n"
     assert read("memo.rtf") == "# Loud\n\nquiet café\n\nmore\n\nmore\n"
     assert read("scan.png") == "# Scan\n\nseen text\n"
     assert read("paper.pdf") == "# Paper\n\n## Page 1\n\nfirst and\n\n## Page 2\n\n_No extractable text on this page._\n\n## Page 3\n\nlast\n"
