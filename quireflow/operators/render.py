@@ -5,10 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from quireflow.functions import text as T
 
@@ -163,7 +162,13 @@ def indented(text: str) -> str:
     return "".join(out)
 
 
-@F.pandas_udf(StringType())
-def pretty(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for part in parts:
-        yield part.map(indented, na_action="ignore")
+def prettied(df: DataFrame, column: str) -> DataFrame:
+    """The rows with the JSON texts of a column indented; nulls stay."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = batch.schema.get_field_index(column)
+            texts = [None if t is None else indented(t) for t in batch.column(k).to_pylist()]
+            yield batch.set_column(k, batch.schema.field(k), pa.array(texts, pa.string()))
+
+    return df.mapInArrow(run, df.schema)

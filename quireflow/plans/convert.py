@@ -33,7 +33,7 @@ def _documents(files: DataFrame, blocks: DataFrame, form: str, at: str) -> DataF
     """path and output of documents that are blocks."""
     if form == "json":
         made = R.blocks_json(files, blocks, at, _KEYS, **_JSON_NAME)
-        return made.select("path", R.pretty("json").alias("output"))
+        return made.select("path", F.col("json").alias("output"))
     return R.markdown(files.withColumn("title", T.title("name")), blocks, _KEYS).select("path", F.col("markdown").alias("output"))
 
 
@@ -64,7 +64,7 @@ def delimited_converter(files: DataFrame, form: str, at: str) -> DataFrame:
     title = T.title("name")
     if form == "json":
         tables = F.when(some, F.array(F.struct(columns.alias("columns"), rows.alias("rows")))).otherwise(F.array().cast("array<struct<columns:array<string>,rows:array<array<string>>>>"))
-        output = R.pretty(R.json_document(F.col("name"), F.col("extension"), F.lit(at), tables=tables, data=F.when(some, D.objects(c))))
+        output = R.json_document(F.col("name"), F.col("extension"), F.lit(at), tables=tables, data=F.when(some, D.objects(c)))
     else:
         output = F.when(some, R.table_document(title, columns, rows)).otherwise(F.concat(F.lit("# "), title, F.lit("\n")))
     return _checked(cells.select("path", output.alias("output")), _invalid(read, F.col("text").isNull()))
@@ -77,7 +77,7 @@ def _value_converter(value: Callable[[Column], Column], lenient: bool, binary: b
         wrong = F.col("value").isNull()
         good = read.where(~wrong)
         if form == "json":
-            made = good.select("path", R.pretty(R.json_document(F.col("name"), F.col("extension"), F.lit(at), data=F.col("value"))).alias("output"))
+            made = good.select("path", R.json_document(F.col("name"), F.col("extension"), F.lit(at), data=F.col("value")).alias("output"))
         else:
             made = _documents(good, V.value_blocks(good, _KEYS), form, at)
         return _checked(made, _invalid(read, wrong))
@@ -116,7 +116,7 @@ def pdf_converter(text: Callable[[bytes], list[str]] | None) -> Converter:
         parsed = P.page_blocks(pages, B.blocks(pages, ["path", "page"]), _KEYS)
         named = pages.join(files.select("path", "name", "extension", T.title("name").alias("title")), "path")
         if form == "json":
-            made = R.paged_json(named, parsed, at, _KEYS, **_JSON_NAME).select("path", R.pretty("json").alias("output"))
+            made = R.paged_json(named, parsed, at, _KEYS, **_JSON_NAME).select("path", F.col("json").alias("output"))
         else:
             made = R.paged_markdown(named, parsed, _KEYS).select("path", F.col("markdown").alias("output"))
         return _checked(made, read.where("error IS NOT NULL"))
@@ -167,7 +167,8 @@ def convert(files: DataFrame, form: str, at: str, using: dict[str, tuple[tuple[s
         made = run(own, form, at).select("path", "output", "error")
         out = made if out is None else out.unionByName(made)
     unread = files.where(F.col("status").isNull() & F.col("read_error").isNotNull()).select("path", F.lit(None).cast("string").alias("output"), F.col("read_error").alias("error"))
-    return unread if out is None else out.unionByName(unread)
+    out = unread if out is None else out.unionByName(unread)
+    return R.prettied(out, "output") if form == "json" else out
 
 
 def convert_folder(spark: SparkSession, source: str, target: str, form: str = "markdown", at: str = "1970-01-01T00:00:00Z", using: dict[str, tuple[tuple[str, ...], Converter]] | None = None) -> DataFrame:
