@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,5 +36,7 @@ def cut(df: DataFrame) -> DataFrame:
 def free(spark: SparkSession) -> None:
     """Lets go of shuffle files of queries that are over: Spark drops them when the driver's JVM finds them unused, which
     may else be long after the disks are full."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what Python lets go of, the JVM hears of a moment later
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
