@@ -5,6 +5,7 @@ A word is a maximal run of characters other than ASCII white space. A null text
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,16 @@ def flat(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return pc.fill_null(column.cast(pa.string()), "")
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def tidy() -> None:
+    """Gives freed memory back to the system: a worker lives on from stage to stage, beside others."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts have about ``most`` bytes together."""
     if not batch.num_rows:
@@ -36,7 +47,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
     for a, b in zip(edges, edges[1:]):
         if b > a:
             yield batch.slice(a, b - a)
-    pa.default_memory_pool().release_unused()  # a worker lives on, beside others
+    tidy()
 
 
 def split(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
