@@ -378,6 +378,16 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert jaccard.near_duplicates(none).count() == 0 and jaccard.deduplicated(none).count() == 0
 
 
+def test_join_has_every_pair_of_copies(spark, tmp_path):
+    rows = near(5)
+    rows += [(1000 + i, rows[i % 4][1]) for i in range(12)]
+    sets = {i: grams(t) for i, t in rows}
+    want = [(a, b, round(len(x & y) / len(x | y), 9)) for a, x in sets.items() for b, y in sets.items() if a < b and x and y and len(x & y) / len(x | y) >= 0.6]
+    frame(spark, rows + rows[:3]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r.doc_id_a, r.doc_id_b, round(r.jaccard, 9)) for r in registry.QUERIES["op10_jaccard_join"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_hashes_are_those_of_any_batch():
     words = pa.array(["a", "bc", "", "é", "a"])
     assert W.hashes(words).tolist() == [int(W.hashes(words.slice(i, 1))[0]) for i in range(5)]
