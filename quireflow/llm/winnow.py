@@ -154,7 +154,7 @@ def shared(docs: DataFrame, benchmark: DataFrame, k: int = K, window: int = WIND
 
     left = docs.select("doc_id", "text").mapInArrow(prints("doc_id"), f"doc_id {ids}, at int, print bigint")
     right = benchmark.select("item_id", "text").mapInArrow(prints("item_id"), f"item_id {items}, at int, print bigint")
-    hits = left.withColumnRenamed("at", "p").join(right.withColumnRenamed("at", "q"), "print").groupBy("doc_id", "item_id").agg(F.array_agg(F.struct("p", "q")).alias("hits"))
+    hits = left.withColumnRenamed("at", "p").join(right.withColumnRenamed("at", "q"), "print").groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("p", "q")).alias("hits"))
     texts = docs.select(F.col("doc_id").alias("d"), F.col("text").alias("doc_text")).distinct()
     paired = hits.join(texts, F.col("doc_id").eqNullSafe(F.col("d"))).drop("d")
     paired = paired.join(benchmark.select(F.col("item_id").alias("i"), F.col("text").alias("item_text")).distinct(), F.col("item_id").eqNullSafe(F.col("i"))).drop("i")
@@ -175,8 +175,10 @@ def shared(docs: DataFrame, benchmark: DataFrame, k: int = K, window: int = WIND
 def decontaminated(docs: DataFrame, benchmark: DataFrame, k: int = K, window: int = WINDOW, most_bytes: int = MOST_BYTES) -> DataFrame:
     """The rows and columns of the documents that share no span with the benchmark."""
     if not _fits(benchmark, most_bytes):
-        bad = shared(docs, benchmark, k, window, most_bytes).select(F.col("doc_id").alias("__bad_id")).distinct()
-        return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad_id"]), "left_anti")
+        # what a row shares depends on its text alone: ids may be null or repeated
+        texts = docs.select(F.sha2("text", 256).alias("doc_id"), "text")
+        bad = shared(texts, benchmark, k, window, most_bytes).select(F.col("doc_id").alias("__bad_id")).distinct()
+        return docs.join(bad, F.sha2(docs["text"], 256) == bad["__bad_id"], "left_anti")
     held = _collected(benchmark, k, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -322,6 +322,15 @@ def test_winnowing_of_odd_rows(spark, odd, none, most_bytes):
     assert winnow.shared(none, bench, most_bytes=most_bytes).count() == 0 and winnow.shared(odd, bench.limit(0), most_bytes=most_bytes).count() == 0
 
 
+@pytest.mark.parametrize("most_bytes", [winnow.MOST_BYTES, -1])
+def test_decontamination_is_by_row(spark, most_bytes):
+    leak = " ".join(f"b{i}" for i in range(30))
+    clean = [(None, "clean one"), (None, None), (None, ""), (1, "clean two"), (1, None), (2, " ".join(f"c{i}" for i in range(30))), (2, "x"), (2, "x")]
+    bench = spark.createDataFrame([(None, leak)], "item_id long, text string")
+    rows = winnow.decontaminated(frame(spark, [(None, leak), (1, leak + " end"), (2, leak), (2, leak), (3, leak), *clean]), bench, most_bytes=most_bytes).collect()
+    assert sorted(repr((r.doc_id, r.text)) for r in rows) == sorted(map(repr, clean))
+
+
 # 10
 
 
