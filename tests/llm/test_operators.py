@@ -397,6 +397,14 @@ def test_join_has_every_pair_of_copies(spark, tmp_path):
     assert sorted(got) == sorted(want)
 
 
+def test_rows_that_share_an_id_only_are_kept(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    rows = [(1, one), (2, one + " end"), (2, two), (2, three), (2, three), (3, two), (4, None), (4, "..."), (4, None), (5, "x y z"), (5, "X, y z"), (None, one)]
+    want = [(1, one), (2, two), (2, three), (4, None), (4, "..."), (5, "X, y z"), (None, one)]
+    for order in (rows, rows[::-1]):
+        assert sorted(repr((r.doc_id, r.text)) for r in jaccard.deduplicated(frame(spark, order)).collect()) == sorted(map(repr, want))
+
+
 def test_hashes_are_those_of_any_batch():
     words = pa.array(["a", "bc", "", "é", "a"])
     assert W.hashes(words).tolist() == [int(W.hashes(words.slice(i, 1))[0]) for i in range(5)]
