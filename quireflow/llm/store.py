@@ -3,9 +3,9 @@
 A rolling hash over ``WINDOW`` ids cuts each id stream where its low bits are zero, so that equal passages give equal
 chunks wherever they stand; chunks have ``LEAST`` to ``MOST`` ids (the last of a document may have fewer). A chunk is
 named by the SHA-256 of its ids. The store has three tables in one folder: ``chunks`` (digest, n_ids, data; each once),
-``recipes`` (doc_id, n_ids, digests in order, Merkle root) and ``manifest`` (Merkle root of each of ``BUCKETS`` groups
+``recipes`` (doc_id, n_ids, digests in order, Merkle root, a polynomial of the whole stream of ids) and ``manifest`` (Merkle root of each of ``BUCKETS`` groups
 of recipes, and one of all). ``verify`` recomputes every chunk's digest from its data, looks up every digest of every
-recipe, and recomputes the roots; ``rebuild`` gives the ids back.
+recipe, and recomputes the roots, those of the manifest if it is given, and the polynomials; ``rebuild`` gives the ids back.
 
 Null ids of tokens give a recipe without chunks and with a null n_ids; an empty stream one with n_ids 0. The root of no
 chunks is the SHA-256 of nothing. Every input row gives one recipe, repeated rows and null doc_ids included. Other
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quireflow.llm import bpe, shared
@@ -66,6 +66,21 @@ def merkle(digests: list[bytes]) -> bytes:
     return level[0]
 
 
+def _powers(most: int) -> np.ndarray:
+    return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(most, W.BASE, np.uint64), dtype=np.uint64)])
+
+
+def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])[ends]
+    return upto[1:] - upto[:-1]
+
+
+def streams(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A 64-bit polynomial of each stream of ids: that of a stream is the sum of its pieces', each times the power of where it begins."""
+    at = np.arange(len(ids)) - np.repeat(offsets[:-1], np.diff(offsets))
+    return _sums(W.mix(ids.astype(np.uint64) + np.uint64(1)) * _powers(int(at.max(initial=0)))[at], offsets)
+
+
 def _pieces(encoded: DataFrame, width: int) -> DataFrame:
     """A row for each document: n_ids, digests and data of its chunks, and the root."""
 
@@ -86,10 +101,10 @@ def _pieces(encoded: DataFrame, width: int) -> DataFrame:
                 roots = [merkle(digests[s:e]) for s, e in zip(upto, upto[1:])]
                 none = lists.is_null().to_numpy(zero_copy_only=False)
                 listed = lambda v: pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(v, pa.binary()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets), pa.int64(), mask=none), listed(digests), listed(chunks), pa.array(roots, pa.binary())], names=["doc_id", "n_ids", "digests", "data", "root"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets), pa.int64(), mask=none), listed(digests), listed(chunks), pa.array(roots, pa.binary()), pa.array(streams(ids, offsets).view(np.int64))], names=["doc_id", "n_ids", "digests", "data", "root", "stream"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "token_ids").mapInArrow(run, f"doc_id {kind}, n_ids bigint, digests array<binary>, data array<binary>, root binary")
+    return encoded.select("doc_id", "token_ids").mapInArrow(run, f"doc_id {kind}, n_ids bigint, digests array<binary>, data array<binary>, root binary, stream bigint")
 
 
 def write(encoded: DataFrame, path: str, width: int = 4) -> None:
@@ -103,8 +118,8 @@ def write(encoded: DataFrame, path: str, width: int = 4) -> None:
     pairs = pieces.select(F.explode(F.arrays_zip("digests", "data")).alias("c")).select("c.digests", "c.data")
     # equal digests have equal data, so any row stands for all
     pairs.groupBy(F.col("digests").alias("digest")).agg(F.first("data").alias("data")).select("digest", (F.octet_length("data") / width).cast("int").alias("n_ids"), "data").write.option("compression", "zstd").parquet(f"{path}/chunks")
-    pieces.select("doc_id", "n_ids", "digests", "root").write.parquet(f"{path}/recipes")
-    _roots(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
+    pieces.select("doc_id", "n_ids", "digests", "root", "stream").write.parquet(f"{path}/recipes")
+    _roots(pieces).write.parquet(f"{path}/manifest")
     _remove(spark, f"{path}/pieces")
 
 
@@ -114,11 +129,14 @@ def _remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
+
+
 def _roots(recipes: DataFrame) -> DataFrame:
     """bucket, n_docs and root for each bucket of recipes, in order of id and root."""
     leaf = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"), F.lit("/").cast("binary"), F.col("root")), 256)
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
-    return recipes.select(bucket.alias("bucket"), leaf.alias("leaf")).groupBy("bucket").agg(F.count("*").alias("n_docs"), F.sha2(F.array_join(F.array_sort(F.collect_list("leaf")), "").cast("binary"), 256).alias("root"))
+    return recipes.select(_bucket().alias("bucket"), leaf.alias("leaf")).groupBy("bucket").agg(F.count("*").alias("n_docs"), F.sha2(F.array_join(F.array_sort(F.collect_list("leaf")), "").cast("binary"), 256).alias("root"))
 
 
 def root(manifest: DataFrame) -> str:
@@ -126,14 +144,26 @@ def root(manifest: DataFrame) -> str:
     return merkle([f"{r.bucket}:{r.root}".encode() for r in sorted(manifest.collect(), key=lambda r: r.bucket)]).hex()
 
 
-def verify(spark: SparkSession, path: str) -> DataFrame:
+def verify(spark: SparkSession, path: str, manifest: DataFrame | None = None) -> DataFrame:
     """doc_id, n_ids, n_chunks, root (in hexadecimal) and verified for each recipe of a store.
 
-    Verified: every chunk is there, its data has the digest that names it, the chunks have n_ids ids together, and the
-    root is that of the digests.
+    Verified: every chunk is there, its data has the digest that names it, the chunks have n_ids ids together and in their
+    order give the polynomial of the whole stream of ids, the root is that of the digests, and, with a manifest, so is the
+    root of the recipe's bucket. A bucket of the manifest without recipes is a row without an id that isn't verified.
     """
     recipes, chunks = spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/chunks")
-    sound = chunks.where(F.unhex(F.sha2("data", 256)) == F.col("digest")).select(F.col("digest").alias("d"), F.col("n_ids").alias("n"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, n = batch.column("data").to_pylist(), np.maximum(batch.column("n_ids").fill_null(0).to_numpy(zero_copy_only=False), 1).astype(np.int64)
+            sizes = np.array([len(x) for x in data], np.int64)
+            for width in (2, 4):
+                at = np.flatnonzero(sizes == width * n)
+                ids = np.frombuffer(b"".join([data[i] for i in at]), f"<u{width}")
+                made = streams(ids, np.concatenate([[0], np.cumsum(n[at])]))
+                yield pa.RecordBatch.from_arrays([batch.column("digest").take(pa.array(at)), pa.array(n[at]), pa.array(made.view(np.int64))], names=["d", "n", "h"])
+
+    sound = chunks.where(F.unhex(F.sha2("data", 256)) == F.col("digest")).select("digest", "n_ids", "data").mapInArrow(hashed, "d binary, n bigint, h bigint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,13 +172,37 @@ def verify(spark: SparkSession, path: str) -> DataFrame:
 
     schema = recipes.schema.simpleString()[7:-1] + ",rooted:boolean"
     named = recipes.mapInArrow(run, schema.replace(":", " ", 0))
-    wanted = named.select("doc_id", "n_ids", "root", "rooted", F.size("digests").alias("n_chunks"), F.explode_outer("digests").alias("d"))
-    key = F.struct("doc_id", "n_ids", "root", "rooted", "n_chunks")
+    wanted = named.select("doc_id", "n_ids", "root", "stream", "rooted", F.size("digests").alias("n_chunks"), F.posexplode_outer("digests").alias("at", "d"))
+    key = F.struct("doc_id", "n_ids", "root", "stream", "rooted", "n_chunks")
+    parts = F.array_sort(F.collect_set(F.when(F.col("n").isNotNull(), F.struct("at", "n", "h"))))
     # repeated rows have equal keys: how many there are is found again by dividing
-    joined = wanted.join(sound, "d", "left").groupBy(key.alias("k")).agg(F.count("n").alias("found"), F.coalesce(F.sum("n"), F.lit(0)).alias("ids"), F.count("*").alias("rows"))
+    joined = wanted.join(sound, "d", "left").groupBy(key.alias("k")).agg(F.count("n").alias("found"), F.coalesce(F.sum("n"), F.lit(0)).alias("ids"), F.count("*").alias("rows"), parts.alias("parts"))
     copies = F.greatest(F.col("rows") / F.greatest(F.col("k.n_chunks"), F.lit(1)), F.lit(1)).cast("int")
     held = F.col("k.rooted") & (F.col("found") == F.col("k.n_chunks") * copies) & (F.col("ids") == F.coalesce(F.col("k.n_ids"), F.lit(0)) * copies)
-    return joined.select("k.doc_id", "k.n_ids", "k.n_chunks", F.hex("k.root").alias("root"), held.alias("verified"), F.explode(F.sequence(F.lit(1), copies)).alias("_")).drop("_")
+    flat = joined.select("k.doc_id", "k.n_ids", "k.n_chunks", F.hex("k.root").alias("root"), held.alias("held"), copies.alias("copies"), "k.stream", F.col("parts.n").alias("n"), F.col("parts.h").alias("h"))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.asarray(batch.column("n").offsets).astype(np.int64)
+            ends = ends - ends[0]
+            n, h = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("n", "h"))
+            before = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+            at = before[:-1] - np.repeat(before[ends[:-1]], np.diff(ends))
+            made = _sums(h.astype(np.int64).view(np.uint64) * _powers(int(at.max(initial=0)))[at], ends).view(np.int64)
+            good = batch.column("held").to_numpy(zero_copy_only=False).astype(bool) & (made == batch.column("stream").to_numpy())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n_ids", "n_chunks", "root")), pa.array(good), batch.column("copies")], names=["doc_id", "n_ids", "n_chunks", "root", "verified", "copies"])
+
+    kind = recipes.schema["doc_id"].dataType.simpleString()
+    rows = flat.mapInArrow(whole, f"doc_id {kind}, n_ids bigint, n_chunks int, root string, verified boolean, copies int")
+    rows = rows.select("doc_id", "n_ids", "n_chunks", "root", "verified", F.explode(F.sequence(F.lit(1), "copies")).alias("_")).drop("_")
+    if manifest is None:
+        return rows
+    now = _roots(recipes).select(F.col("bucket").alias("b"), F.col("n_docs").alias("docs_now"), F.col("root").alias("root_now"))
+    both = shared.cut(manifest.join(now, F.col("bucket") == F.col("b"), "full"))  # at most BUCKETS rows
+    same = both.where("b IS NOT NULL").select("b", F.coalesce((F.col("root") == F.col("root_now")) & (F.col("n_docs") == F.col("docs_now")), F.lit(False)).alias("same"))
+    rows = rows.join(F.broadcast(same), _bucket() == F.col("b"), "left").select("doc_id", "n_ids", "n_chunks", "root", (F.col("verified") & F.coalesce("same", F.lit(False))).alias("verified"))
+    lost = both.where("b IS NULL").selectExpr(f"CAST(NULL AS {kind}) AS doc_id", "CAST(NULL AS bigint) AS n_ids", "CAST(NULL AS int) AS n_chunks", "CAST(NULL AS string) AS root", "false AS verified")
+    return rows.unionByName(lost)
 
 
 def rebuild(spark: SparkSession, path: str, width: int = 4) -> DataFrame:
@@ -169,4 +223,4 @@ def rebuild(spark: SparkSession, path: str, width: int = 4) -> DataFrame:
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared.fresh(spark, "store")
     write(bpe.encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), check=False), path, width=2)  # the vocabulary has fewer than 65,536 ids
-    return verify(spark, path)
+    return verify(spark, path, spark.read.parquet(f"{path}/manifest"))

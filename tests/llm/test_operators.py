@@ -255,6 +255,30 @@ def test_store(spark, odd, none, tmp_path):
     assert store.verify(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_store_misses_recipes_and_sees_others(spark, tmp_path):
+    docs = [(i, t) for i, t in enumerate(texts(6, 6, 400)) if t]
+    path = f"{tmp_path}/store"
+    store.write(bpe.encode(frame(spark, docs), check=False), path, width=2)
+    manifest = spark.read.parquet(f"{path}/manifest")
+    recipes = spark.read.parquet(f"{path}/recipes").toPandas()
+    checked = lambda at: {r.doc_id: r.verified for r in store.verify(spark, at, manifest).collect()}
+    assert checked(path) == {i: True for i, _ in docs}
+
+    def changed(name, made):
+        spark.read.parquet(f"{path}/chunks").write.parquet(f"{tmp_path}/{name}/chunks")
+        spark.createDataFrame(made, spark.read.parquet(f"{path}/recipes").schema).write.parquet(f"{tmp_path}/{name}/recipes")
+        return checked(f"{tmp_path}/{name}")
+
+    lost, other, stream = recipes[1:], recipes.copy(), recipes.copy()
+    gone = int(recipes.doc_id[0])
+    assert changed("lost", lost) == {**{i: True for i, _ in docs if i != gone}, None: False}
+    for c in ("n_ids", "digests", "root", "stream"):
+        other.at[0, c] = recipes.at[1, c]
+    assert changed("other", other) == {i: i != gone for i, _ in docs}
+    stream.loc[0, "stream"] += 1
+    assert changed("stream", stream) == {i: i != gone for i, _ in docs}
+
+
 def test_chunks_follow_the_content():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 50_000, 20_000)
