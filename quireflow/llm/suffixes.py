@@ -5,7 +5,8 @@ on) ranks twice as many words: Spark sorts the pairs, equal neighbours get one n
 are dropped, as no longer prefix of theirs repeats. It ends when h reaches the threshold of ``LEAST`` words; what is left
 are the passages of that many words that occur at least twice.
 
-The first ranks, of ``START`` words, are 64-bit hashes, made where the text is. Most places are unique already then, and
+The first ranks, of ``START`` words, are 64-bit hashes, made where the text is. ``START`` is half of ``LEAST``, so that the
+query takes a single pair of ranks and no further round; with a lesser one the rounds run. Most places are unique already then, and
 needn't be sorted to know it: in every ``LEAST`` words, the group of ``ANCHOR`` words with the least hash is an anchor,
 chosen alike wherever the passage stands. Only anchors are shuffled at first, and only places whose anchor occurs twice
 go into the doubling. The result is that of sorting all places, up to collisions of the hashes.

@@ -304,6 +304,19 @@ def test_passages_by_brute_force(spark):
     assert {(r.doc_id, r.place) for r in got} == want and len(got) == len(want) and {(r.doc_id, r.place) for r in got if r["first"]} == firsts
 
 
+@pytest.mark.parametrize("least", [7, 13])
+def test_passages_by_rounds_of_doubling(spark, least):
+    rows = list(enumerate(texts(12, 30, 60, WORDS[:2])))
+    where: dict = {}
+    for i, t in rows:
+        w = t.split()
+        for p in range(len(w) - least + 1):
+            where.setdefault(tuple(w[p : p + least]), []).append((i, p))
+    want = {x for xs in where.values() if len(xs) > 1 for x in xs}
+    got = suffixes.repeats(frame(spark, rows), least, 3, 2).collect()
+    assert want and {(r.doc_id, r.place) for r in got} == want and len(got) == len(want)
+
+
 def test_passages_of_odd_rows(odd, none):
     rows = {r.doc_id: r for r in suffixes.passages(odd).collect()}
     assert set(rows) == {1, 6} and (rows[6].span_start, rows[6].span_end, rows[6].later_words, rows[1].later_words) == (0, 80, 80, 0)
