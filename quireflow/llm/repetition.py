@@ -1,9 +1,9 @@
 """Quality rule: repetition inside a document, by suffix array.
 
 The words of each document are ordered by suffix; prefixes are doubled and only suffixes whose rank is still
-shared are ranked again. The longest common prefixes of neighbouring suffixes then give intervals: each interval
-of depth d is a substring of d words that repeats and can't be lengthened on the right. The union of the spans of
-all repeats of at least ``min_words`` words is the covered part. A document stays if that part is at most
+shared are ranked again. Each suffix repeats as far as the longer of the longest common prefixes with its two
+neighbours, which is the deepest LCP interval that it is in; ``intervals`` finds those, but the query doesn't need
+them. The union of the spans of all repeats of at least ``min_words`` words is the covered part. A document stays if that part is at most
 ``max_covered`` of its words and no repeat is longer than ``max_longest`` words.
 
 Words are runs of characters other than ASCII white space; one of more than 64 characters (text without spaces) is
