@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Documents in an Arrow batch.
+ROWS = 2_000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, a temporary one of this machine, which is then set."""
+    """The folder in spark.checkpoint.dir. Where that is unset and Spark runs in one process, as in tests, a temporary one,
+    which is then set; on a cluster that is an error, as executors share no temporary folder."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._conf.get("spark.checkpoint.dir")
     context = spark.sparkContext
     if not given:
         set_ = context._jsc.sc().getCheckpointDir()
+        if not set_.isDefined() and not re.fullmatch(r"local(\[[^-]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         given = set_.get() if set_.isDefined() else tempfile.mkdtemp(prefix="quireflow-")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(given)
@@ -33,10 +39,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def free(spark: SparkSession) -> None:
-    """Lets go of shuffle files of queries that are over: Spark drops them when the driver's JVM finds them unused, which
-    may else be long after the disks are full."""
-    for _ in range(2):  # what Python lets go of, the JVM hears of a moment later
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system that Spark knows."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python at most ``ROWS`` at a time, unless the session says otherwise: a batch of documents is held by the
+    JVM and by Python."""
+    if spark.conf.get(_ROWS) == "10000":  # Spark's default
+        spark.conf.set(_ROWS, str(ROWS))

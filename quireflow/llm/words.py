@@ -1,6 +1,7 @@
 """Words of Arrow text columns as numpy arrays.
 
-A word is a maximal run of characters other than ASCII white space. A null text has no words.
+A word is a maximal run of characters other than ASCII white space; a character of a script that is written without
+spaces (``UNSPACED``) is a word of its own, wherever it stands. A null text has no words.
 """
 
 from __future__ import annotations
@@ -17,7 +18,10 @@ BASE = 0x9E3779B97F4A7C15
 _BASE = np.uint64(BASE)
 _INVERSE = np.uint64(pow(BASE, -1, 1 << 64))
 #: Text bytes that are held as words at a time; a longer text is still handled whole.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"
+#: The words of the column text as a list, in DuckDB.
+SQL_WORDS = rf"regexp_extract_all(regexp_replace(coalesce(text, ''), '({UNSPACED})', ' \1 ', 'g'), '[^ \t\n\x0B\f\r]+')"
 
 
 def flat(column: pa.Array | pa.ChunkedArray) -> pa.Array:
@@ -52,6 +56,8 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
 
 def split(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """Offsets (one more than there are texts) into the words of all texts, and the words."""
+    if pc.any(pc.match_substring_regex(texts, UNSPACED)).as_py():
+        texts = pc.replace_substring_regex(texts, f"({UNSPACED})", r" \1 ")
     lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(texts))
     words, offsets = lists.flatten(), np.asarray(lists.offsets).astype(np.int64)
     offsets = offsets - offsets[0]

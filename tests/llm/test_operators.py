@@ -391,47 +391,75 @@ def grams(text: str) -> frozenset:
     return frozenset([tuple(w)] if len(w) < 3 else zip(w, w[1:], w[2:])) if w else frozenset()
 
 
+def linked(rows: list[tuple[int, str]], threshold: float) -> dict[int, tuple[int, int, int]]:
+    """class_id, copies and n_links of each document that has a link, by comparing all pairs."""
+    rows_ = {(i, grams(t)) for i, t in rows}
+    links: dict = {}
+    top = {i: i for i, _ in rows_}
+
+    def least(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i, x in rows_:
+        for j, y in rows_:
+            if i < j and x and y and len(x & y) / len(x | y) >= threshold:
+                for own, other in ((i, j), (j, i)):
+                    copies, n = links.get(own, (0, 0))
+                    links[own] = (copies + (x == y), n + 1)
+                a, b = least(i), least(j)
+                top[max(a, b)] = min(a, b)
+    return {i: (least(i), *v) for i, v in links.items()}
+
+
+def crowd(seed: int, n: int = 60) -> list[str]:
+    """Near copies of one text, from slightly to much changed."""
+    rng = random.Random(seed)
+    base = [f"c{rng.randrange(400)}" for _ in range(80)]
+    out = []
+    for i in range(n):
+        copy = list(base)
+        for _ in range(rng.randint(0, 9)):
+            copy[rng.randrange(len(copy))] = f"c{rng.randrange(400)}"
+        out.append(" ".join(copy[: rng.choice([60, 80, 80, 80])]))
+    return out
+
+
 @pytest.mark.parametrize("threshold", [0.4, 0.6, 0.9])
-def test_near_duplicates_by_brute_force(spark, threshold):
+@pytest.mark.parametrize("crowds", [4, 1 << 30])
+def test_links_by_brute_force(spark, monkeypatch, threshold, crowds):
+    monkeypatch.setattr(jaccard, "CROWD", crowds)
     rows = near(int(threshold * 10))
-    sets = {i: grams(t) for i, t in rows}
-    least: dict = {}
-    for i in sorted(sets):
-        least.setdefault(sets[i], i)
-    want, edges = set(), []
-    for b in sets:
-        for a in range(b):
-            if sets[a] and sets[b]:
-                j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
-                if j >= threshold:
-                    edges.append((a, b))
-                    if least[sets[a]] == a and (least[sets[b]] == b or j == 1):
-                        want.add((a, b, round(j, 9)))
+    rows += [(1000 + i, t) for i, t in enumerate(crowd(1) + crowd(2))] + [(2000 + i, rows[i % 4][1]) for i in range(12)] + [(3000, crowd(1)[0])]
     frames = frame(spark, rows + rows[:3])
-    assert {(r.doc_id_a, r.doc_id_b, round(r.jaccard, 9)) for r in jaccard.near_duplicates(frames, 3, threshold).collect()} == want
-    top = list(range(len(rows)))
-    for _ in rows:
-        for a, b in edges:
-            top[a] = top[b] = min(top[a], top[b])
-    kept = [r.doc_id for r in jaccard.deduplicated(frames, 3, threshold).collect()]
-    assert sorted(kept) == [i for i in range(len(rows)) if top[i] == i]
-
-
-def test_near_duplicates_of_odd_rows(odd, none):
-    assert [tuple(r)[:2] for r in jaccard.near_duplicates(odd).collect()] == [(1, 6)]
+    want = linked(rows, threshold)
+    got = [tuple(r) for r in jaccard.links(frames, 3, threshold).collect()]
+    assert {i: tuple(r) for i, *r in got} == want and len(got) == len(want)
+    kept = {r.doc_id for r in jaccard.deduplicated(frames, 3, threshold).collect()}
+    assert kept == {i for i, _ in rows} - {i for i, (least, *_) in want.items() if i != least}
+
+
+def test_pivots_are_used(spark):
+    rows = list(enumerate(crowd(3, 200)))
+    order = jaccard._order(frame(spark, rows), 3, 0.6)
+    s = jaccard.sets(pa.array([t for _, t in rows]), 3)
+    assert len(order.pivots.keys) and (jaccard.tags(s, order.pivots, 80) >= 0).mean() > 0.4
+    keys = {k: i for i, k in enumerate(s.keys.view(np.int64).tolist())}
+    whole = [grams(t) for _, t in rows]
+    for x, tag in zip(whole, jaccard.tags(s, order.pivots, 80).tolist()):
+        if tag >= 0:
+            y = whole[keys[int(order.pivots.keys[tag >> 8])]]
+            assert tag & 255 == -int(-200 * len(x ^ y) // len(x | y))
+
+
+@pytest.mark.parametrize("most_sent", [jaccard.MOST_SENT, 0])
+def test_links_of_odd_rows(odd, none, monkeypatch, most_sent):
+    monkeypatch.setattr(jaccard, "MOST_SENT", most_sent)
+    assert sorted(tuple(r) for r in jaccard.links(odd).collect()) == [(1, 1, 0, 1), (6, 1, 0, 1)]
     kept = jaccard.deduplicated(odd)
     assert kept.columns == odd.columns and sorted(-1 if r.doc_id is None else r.doc_id for r in kept.collect()) == [-1, -1, 1, 2, 3, 4, 5, 7]
-    assert jaccard.near_duplicates(none).count() == 0 and jaccard.deduplicated(none).count() == 0
-
-
-def test_join_has_every_pair_of_copies(spark, tmp_path):
-    rows = near(5)
-    rows += [(1000 + i, rows[i % 4][1]) for i in range(12)]
-    sets = {i: grams(t) for i, t in rows}
-    want = [(a, b, round(len(x & y) / len(x | y), 9)) for a, x in sets.items() for b, y in sets.items() if a < b and x and y and len(x & y) / len(x | y) >= 0.6]
-    frame(spark, rows + rows[:3]).write.parquet(f"{tmp_path}/documents.parquet")
-    got = [(r.doc_id_a, r.doc_id_b, round(r.jaccard, 9)) for r in registry.QUERIES["op10_jaccard_join"](spark, str(tmp_path)).collect()]
-    assert sorted(got) == sorted(want)
+    assert jaccard.links(none).count() == 0 and jaccard.deduplicated(none).count() == 0
 
 
 def test_rows_that_share_an_id_only_are_kept(spark):
@@ -458,7 +486,7 @@ def test_pipeline(spark):
         after = spark.createDataFrame(stage(spark, at, SMALL).toPandas(), docs.schema)
         assert after.columns == docs.columns and 0 < after.count() <= at.count()
         if name == "near_duplicates":
-            assert jaccard.near_duplicates(after).count() == 0
+            assert jaccard.links(after).count() == 0
         if name == "decontamination":
             assert winnow.shared(after, spark.read.parquet(f"{SMALL}/benchmark.parquet")).count() == 0
         if name == "personal_data":
