@@ -1,38 +1,32 @@
 """Quality rule: repetition inside a document, by suffix array.
 
-The words of each document are ordered by suffix; prefixes are doubled and only suffixes whose rank is still
-shared are ranked again. Each suffix repeats as far as the longer of the longest common prefixes with its two
-neighbours, which is the deepest LCP interval that it is in; ``intervals`` finds those, but the query doesn't need
-them. The union of the spans of all repeats of at least ``min_words`` words is the covered part. A document stays if that part is at most
-``max_covered`` of its words and no repeat is longer than ``max_longest`` words.
-
-Words are runs of characters other than ASCII white space; one of more than 64 characters (text without spaces) is
-read character by character. Null and empty texts have no words, no repeat, and stay. Every input row gives one row,
-repeated rows and null ids included; other columns are ignored.
+The words of each document are ordered by suffix; prefixes are doubled and only suffixes whose rank is still shared are
+ranked again. The longest common prefixes of neighbours form intervals: a run of suffixes that all share so many words.
+An interval whose suffixes don't all follow the same word is a maximal repeat. Each suffix counts for the longest one
+that it is in; the union of the spans of those of at least ``min_words`` words is the covered part. A document stays if that
+part is at most ``max_covered`` of its words and no repeat is longer than ``max_longest`` words.
+
+Words are runs of characters other than ASCII white space; a character of a script without spaces is a word by itself
+(``words.UNSPACED``). Null and empty texts have no words, no repeat, and stay. Every input row gives one row, repeated rows and
+null ids included; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from quireflow.llm import words as W
 
-MIN_WORDS, MAX_COVERED, MAX_LONGEST, LONG = 10, 0.3, 100, 64
-_UNSPACED = re.compile(r"[^ \t\n\x0b\f\r]{%d,}" % (LONG + 1))
+MIN_WORDS, MAX_COVERED, MAX_LONGEST = 10, 0.3, 100
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and a number for each word, equal for equal words."""
     offsets, words = W.split(texts)
-    if len(words) and pc.max(pc.binary_length(words)).as_py() > LONG:
-        spaced = [_UNSPACED.sub(lambda m: " ".join(m[0]), t) for t in texts.to_pylist()]
-        offsets, words = W.split(pa.array(spaced, pa.string()))
     return offsets, words.dictionary_encode().indices.to_numpy().astype(np.int64) if len(words) else np.zeros(0, np.int64)
 
 
@@ -84,30 +78,49 @@ def suffixes(offsets: np.ndarray, codes: np.ndarray, least: int) -> tuple[np.nda
     return order, common
 
 
-def intervals(order: np.ndarray, common: np.ndarray, codes: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
-    """The maximal repeats as (length, first of its suffixes in the order, one past the last): LCP intervals whose
-    occurrences don't all follow the same word."""
-    found, begins = [], set(offsets.tolist())
-    left = lambda k: -1 - k if int(order[k]) in begins else int(codes[order[k] - 1])
-    for run in np.split(np.flatnonzero(common), np.flatnonzero(np.diff(np.flatnonzero(common)) > 1) + 1):
-        if not len(run):
-            continue
-        lo = int(run[0]) - 1
-        stack: list[list] = []  # depth, first suffix, the words before its occurrences
-        for k in range(lo + 1, int(run[-1]) + 2):
-            depth = int(common[k]) if k <= run[-1] else 0
-            first, before = k - 1, {left(k - 1)}
-            while stack and stack[-1][0] > depth:
-                d, f, b = stack.pop()
-                b |= before
-                if len(b) > 1:
-                    found.append((d, f, k))
-                first, before = f, b
-            if stack and stack[-1][0] == depth:
-                stack[-1][2] |= before
-            elif depth:
-                stack.append([depth, first, before])
-    return found
+_MIXED = -2
+
+
+def intervals(order: np.ndarray, common: np.ndarray, codes: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, list[int]]]:
+    """The maximal repeats, inner intervals first, as (length, first of its suffixes in the order, one past the last, and
+    those of them, by place in the text, that no inner one has)."""
+    begins = np.zeros(len(codes) + 1, bool)
+    begins[offsets] = True
+    before = np.where(begins[:-1], -1 - np.arange(len(codes)), np.roll(codes, 1))  # a text's first word follows nothing
+    at = np.flatnonzero(common)
+    if not len(at):
+        return
+    breaks = np.flatnonzero(np.diff(at) > 1) + 1
+    for run in np.split(at, breaks):
+        lo, hi = int(run[0]) - 1, int(run[-1])
+        places, depths = order[lo : hi + 1].tolist(), common[lo + 1 : hi + 1].tolist() + [0]
+        lefts = before[order[lo : hi + 1]].tolist()
+        stack: list[list] = []  # depth, first suffix, the word before all of its suffixes or _MIXED, suffixes not counted yet
+        for k, depth in enumerate(depths):
+            first, left, own = k, lefts[k], [places[k]]
+            if stack and stack[-1][0] >= depth or not stack and not depth:
+                # the suffix ends the intervals that are deeper than what it shares with the next
+                while stack and stack[-1][0] > depth:
+                    d, f, word, rest = stack.pop()
+                    if left != word:
+                        left = _MIXED
+                    if len(own) > len(rest):
+                        rest, own = own, rest
+                    rest += own
+                    first, own = f, rest
+                    if left == _MIXED:
+                        yield d, lo + f, lo + k + 1, own
+                        own = []
+                if stack and stack[-1][0] == depth:
+                    top = stack[-1]
+                    if top[2] != left:
+                        top[2] = _MIXED
+                    if len(own) > len(top[3]):
+                        own, top[3] = top[3], own
+                    top[3] += own
+                    continue
+            if depth:
+                stack.append([depth, first, left, own])
 
 
 def measure(texts: pa.Array, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,9 +131,12 @@ def measure(texts: pa.Array, least: int) -> tuple[np.ndarray, np.ndarray, np.nda
     if len(codes):
         order, common = suffixes(offsets, codes, least)
         reach = np.zeros(len(codes), np.int64)
-        np.maximum.at(reach, order, common)
-        some = np.flatnonzero(common)
-        np.maximum.at(reach, order[some - 1], common[some])
+        lengths, sizes, places = [], [], []
+        for depth, _, _, own in intervals(order, common, codes, offsets):
+            lengths.append(depth)
+            sizes.append(len(own))
+            places += own
+        reach[np.array(places, np.int64)] = np.repeat(np.array(lengths, np.int64), sizes)
         some = np.flatnonzero(reach)
         edges = np.bincount(some, minlength=len(codes) + 1) - np.bincount(some + reach[some], minlength=len(codes) + 1)
         owner = W.owners(offsets)
@@ -152,8 +168,7 @@ def op1_repetition(spark, sf_dir: str) -> DataFrame:
 
 SQL = f"""
 WITH w AS (
-  SELECT doc_id, flatten(list_transform(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+'),
-         lambda x: CASE WHEN length(x) > {LONG} THEN regexp_extract_all(x, '(?s).') ELSE [x] END)) AS words
+  SELECT doc_id, {W.SQL_WORDS} AS words
   FROM documents),
 g AS (
   SELECT doc_id, i, array_to_string(words[i : i + {MIN_WORDS - 1}], ' ') AS gram

@@ -65,13 +65,36 @@ def test_repeats_by_brute_force():
         got = repetition.measure(pa.array([t]), least)
         assert [int(x[0]) for x in got] == [len(w), len(covered), longest]
         offsets, codes = repetition.tokens(pa.array([t]))
-        spans = set()
         if len(codes):
             order, common = repetition.suffixes(offsets, codes, least)
-            for depth, a, b in repetition.intervals(order, common, codes, offsets):
-                for k in range(a, b):
-                    spans |= set(range(order[k], order[k] + depth))
-        assert spans == covered
+            found = {}
+            for depth, a, b, _ in repetition.intervals(order, common, codes, offsets):
+                spans = sorted(order[a:b].tolist())
+                assert len({tuple(w[p : p + depth]) for p in spans}) == 1
+                found[tuple(w[spans[0] : spans[0] + depth])] = spans
+            assert found == maximal(w, least)
+
+
+def maximal(w: list[str], least: int) -> dict:
+    """The repeats that can't be made longer without losing an occurrence, with their places."""
+    where: dict = {}
+    for n in range(least, len(w)):
+        for p in range(len(w) - n + 1):
+            where.setdefault(tuple(w[p : p + n]), []).append(p)
+    sides = lambda ps, at: len({w[q] if 0 <= (q := at(p)) < len(w) else p - len(w) - 1 for p in ps})
+    return {g: ps for g, ps in where.items() if len(ps) > 1 and sides(ps, lambda p: p - 1) > 1 and sides(ps, lambda p: p + len(g)) > 1}  # noqa: B023
+
+
+def test_long_words_are_words_and_unspaced_scripts_are_split(spark):
+    url = "https://example.org/" + "x" * 100
+    rows = {r.doc_id: r for r in repetition.repetition(frame(spark, [(1, f"{url} and {url}"), (2, "漢字仮名交じり文章の例" * 2 + "end")])).collect()}
+    assert (rows[1].n_words, rows[1].longest_repeat, rows[1].keep) == (3, 0, True)
+    assert (rows[2].n_words, rows[2].covered_words, rows[2].longest_repeat) == (23, 22, 11)
+
+
+def test_repeats_of_one_word_take_no_square_time():
+    count, covered, longest = repetition.measure(pa.array(["a " * 50_000, "x y " * 20_000]), 10)
+    assert covered.tolist() == count.tolist() == [50_000, 40_000] and longest.tolist() == [49_999, 39_998]
 
 
 def test_repetition_of_odd_rows(odd, none):
