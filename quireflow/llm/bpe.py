@@ -24,12 +24,13 @@ import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame
 
+from quireflow.llm import shared
 from quireflow.llm import words as W
 
 RANKS = os.path.join(os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers"), "byte_bpe_50k.tiktoken")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Fragments whose ids a worker remembers between batches; it forgets all when there are more.
-REMEMBERED = 200_000
+REMEMBERED = 50_000
 
 
 class Encoder:
@@ -111,11 +112,12 @@ def encoder(path: str) -> Encoder:
 
 def encode(docs: DataFrame, ranks: str = RANKS, check: bool = True) -> DataFrame:
     """doc_id, n_tokens, token_ids and exact (whether decoding gives the text back), a row for each document."""
+    shared.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(ranks)
         for batch in batches:
-            for part in W.slices(batch, "text", 4 << 20):
+            for part in W.slices(batch, "text"):
                 texts = W.flat(part.column("text"))
                 ids, count = bpe.encode(texts)
                 lost = part.column("text").is_null().to_numpy(zero_copy_only=False)

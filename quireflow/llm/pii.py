@@ -20,6 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from quireflow.llm import shared
 from quireflow.llm import words as W
 
 WINDOW, LEAST, FOR, AGAINST = 60, 0.5, 0.2, -0.3
@@ -130,6 +131,7 @@ def find(docs: DataFrame) -> DataFrame:
                     at, kind, a, b, score = zip(*rows)
                     yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(at)), pa.array(kind), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(score)], names=["doc_id", "kind", "span_start", "span_end", "score"])
 
+    shared.small_batches(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, kind string, span_start int, span_end int, score double")
 
@@ -156,6 +158,7 @@ def redacted(docs: DataFrame, length: str | None = "n_chars") -> DataFrame:
                     batch = batch.set_column(k, batch.schema.field(k), pa.array(sizes, batch.schema.field(k).type))
             yield batch
 
+    shared.small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 

@@ -7,10 +7,11 @@ first scorer that tells positives from unlabelled rows, by the best bin of Garg
 thresholds, of the share of held-out unlabelled rows above one to that of held-out positives, each with its error bound.
 A document stays if its score is at least the one that ``KEEP`` of the held-out positives reach.
 
-Features are shares of kinds of characters and of repeated words, which words occur (in ``BINS`` hash bins), and the
-log odds of the word that most speaks against a text. At most
-``SAMPLE`` positives and as many unlabelled documents are read for fitting, those whose id hashes lowest; every
-document is scored, over its whole text.
+Features are shares of kinds of characters and of repeated words, which words occur (in ``BINS`` hash bins), the log odds of
+the word that most speaks against a text, and by how much that goes beyond ``TELLING``. Log odds compare how many positives
+have a word with how many documents of the whole table have it; the prior is estimated from the scores of all documents. Only
+the gradient steps read a sample: at most ``SAMPLE`` positives and as many unlabelled documents, those whose id hashes
+lowest. Every document is scored, over its whole text.
 
 A null text is read as an empty one. Every input row gives one row, repeated rows and null ids included. Where there
 are no positives or no unlabelled documents nothing can be learnt: the score is 0 and every document stays. An id
@@ -19,25 +20,28 @@ whose rows in labels disagree counts as labelled but not as good. Other columns
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quireflow.llm import shared
 from quireflow.llm import words as W
 
 SAMPLE, BINS, KEEP, EPOCHS, SEED, SMOOTH = 20_000, 1 << 16, 0.99, 24, 7, 3.0
+TELLING, STEP = -2.0, 1e-3  #: STEP: width of the bins that scores of all documents are counted in
+_PARTS = 16  #: in which counts of bins are sent
 _CLASSES = np.zeros(256, np.uint8)  # 0 letters and bytes above 127, 1 capitals, 2 digits, 3 white space, 4 common marks, 5 other marks
 for _bytes, _k in ((range(65, 91), 1), (range(48, 58), 2), ((9, 10, 11, 12, 13, 32), 3), (b".,;:'\"-?()", 4)):
     _CLASSES[list(_bytes)] = _k
 for _b in range(128):
     if not (chr(_b).isalnum() or _CLASSES[_b]):
         _CLASSES[_b] = 5
-DENSE = 10
+DENSE = 11
 
 
 class Features(NamedTuple):
@@ -79,24 +83,43 @@ def features(texts: pa.Array) -> Features:
     dense[:, 7] = np.bincount(owner[twins], minlength=n) / some
     dense[:, 8] = np.bincount(of[by][again], minlength=n) / some
     dense[:, 9] = distinct / some
-    bins, of = (hashed[order][new] % np.uint64(BINS)).astype(np.int64), owner[order][new]
+    dense[:, 10] = np.bincount(owner[hashed == 0], minlength=n) / some  # words without letters and digits
+    bins, of = (hashed[order][new] % np.uint64(BINS)).astype(np.uint16), owner[order][new]
     return Features(dense, np.bincount(of, minlength=n), bins)
 
 
-def odds(f: Features, positive: np.ndarray) -> np.ndarray:
-    """For each bin the smoothed log odds of a positive document having it to an unlabelled one."""
-    of = np.repeat(positive, f.counts)
-    p, u = (np.bincount(f.bins[of == x], minlength=BINS) for x in (True, False))
-    return np.log((p + SMOOTH) / (u * (positive.sum() / max(1, (~positive).sum())) + SMOOTH))
+def document_counts(f: Features) -> np.ndarray:
+    """How many texts have each bin."""
+    of = np.repeat(np.arange(len(f.counts)), f.counts)
+    pairs = np.unique(of * BINS + f.bins)  # two words may share a bin
+    return np.bincount(pairs % BINS, minlength=BINS)
+
+
+def odds(positives: np.ndarray, n: int, everything: np.ndarray, total: int) -> np.ndarray:
+    """For each bin the smoothed log odds of a positive document having it to any document, from document counts."""
+    return np.log((positives + SMOOTH) / (everything * (n / max(1, total)) + SMOOTH))
 
 
 def widened(f: Features, log_odds: np.ndarray) -> np.ndarray:
-    """The dense features and the least log odds of any word of each text, so that a few telling words in a long text count."""
+    """The dense features, the least log odds of any word of each text, and what of it is beyond TELLING, so that a few
+    telling words in a long text count."""
     least = np.zeros(len(f.counts))
-    full = f.counts > 0
-    if full.any():
-        least[full] = np.minimum.reduceat(log_odds[f.bins], (np.cumsum(f.counts) - f.counts)[full])
-    return np.column_stack([f.dense, np.minimum(least, 0.0)])
+    for a, b, lo, hi in _spans(f.counts):
+        full = f.counts[a:b] > 0
+        if full.any():
+            least[a:b][full] = np.minimum.reduceat(log_odds[f.bins[lo:hi]], (np.cumsum(f.counts[a:b]) - f.counts[a:b])[full])
+    least = np.minimum(least, 0.0)
+    return np.column_stack([f.dense, least, np.clip(least - TELLING, -2.0, 0.0)])
+
+
+def _spans(counts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """Rows and bins in runs of about a million bins."""
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    edges = np.unique(np.append(np.searchsorted(ends[1:], np.arange(0, ends[-1], 1 << 20)), [0, len(counts)]))
+    return ((int(a), int(b), int(ends[a]), int(ends[b])) for a, b in zip(edges[:-1], edges[1:]))
+
+
+WIDE = DENSE + 2
 
 
 class Model(NamedTuple):
@@ -111,12 +134,13 @@ class Model(NamedTuple):
 
     def score(self, f: Features) -> np.ndarray:
         out = ((widened(f, self.log_odds) - self.shift) / self.scale).clip(-8, 8) @ self.dense + self.bias
-        upto = np.concatenate([[0.0], np.cumsum(self.bins[f.bins], dtype=np.float64)])
-        ends = np.concatenate([[0], np.cumsum(f.counts)])
-        return np.round(out + np.diff(upto[ends]) / np.sqrt(np.maximum(f.counts, 1)), 6)
+        for a, b, lo, hi in _spans(f.counts):
+            upto = np.concatenate([[0.0], np.cumsum(self.bins[f.bins[lo:hi]], dtype=np.float64)])
+            out[a:b] += np.diff(upto[np.concatenate([[0], np.cumsum(f.counts[a:b])])]) / np.sqrt(np.maximum(f.counts[a:b], 1))
+        return np.round(out, 6)
 
 
-NOTHING = Model(np.zeros(BINS), np.zeros(DENSE + 1), np.ones(DENSE + 1), np.zeros(DENSE + 1), np.zeros(BINS), 0.0, 0.0, 1.0)
+NOTHING = Model(np.zeros(BINS), np.zeros(WIDE), np.ones(WIDE), np.zeros(WIDE), np.zeros(BINS), 0.0, 0.0, 1.0)
 
 
 def _rows(f: Features, rows: np.ndarray) -> Features:
@@ -125,14 +149,29 @@ def _rows(f: Features, rows: np.ndarray) -> Features:
     return Features(f.dense[rows], count, f.bins[np.repeat(starts[rows] - (np.cumsum(count) - count), count) + np.arange(count.sum())])
 
 
-def _fit(f: Features, positive: np.ndarray, prior: float | None, epochs: int = EPOCHS) -> Model:
+def risk(scores: np.ndarray, positive: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative unbiased risk with the sigmoid loss, and the gradient by the scores that a step follows: where
+    the risk of the negatives is below 0, the one that brings it back up."""
+    s = 1 / (1 + np.exp(-scores.clip(-30, 30)))  # the loss of calling a row positive that isn't; 1 - s the other way
+    slope, p = s * (1 - s), positive
+    negative = s[~p].mean() - prior * s[p].mean()
+    grad = np.zeros(len(scores))
+    if negative >= 0:
+        grad[p] = (-prior - prior) * slope[p] / p.sum()
+        grad[~p] = slope[~p] / (~p).sum()
+    else:
+        grad[p] = prior * slope[p] / p.sum()
+        grad[~p] = -slope[~p] / (~p).sum()
+    return prior * (1 - s[p]).mean() + max(0.0, negative), grad
+
+
+def _fit(f: Features, positive: np.ndarray, log_odds: np.ndarray, prior: float | None, epochs: int = EPOCHS) -> Model:
     """By non-negative risk with the given prior; without one, positives against the rest by the plain sigmoid risk."""
     rng = np.random.default_rng(SEED)
-    log_odds = odds(f, positive)
-    f = f._replace(dense=widened(f, log_odds))
+    f = f._replace(dense=widened(f, log_odds).astype(np.float32))
     shift, scale = f.dense.mean(0), np.maximum(f.dense.std(0), 1e-3)
-    w, v, b = np.zeros(DENSE + 1), np.zeros(BINS), 0.0
-    moments = [[np.zeros(DENSE + 1), np.zeros(DENSE + 1)], [np.zeros(BINS), np.zeros(BINS)], [0.0, 0.0]]
+    w, v, b = np.zeros(WIDE), np.zeros(BINS), 0.0
+    moments = [[np.zeros(WIDE), np.zeros(WIDE)], [np.zeros(BINS), np.zeros(BINS)], [0.0, 0.0]]
     step, n = 0, len(positive)
     size = max(32, min(1024, n // 8))
     share = positive.mean()
@@ -147,19 +186,11 @@ def _fit(f: Features, positive: np.ndarray, prior: float | None, epochs: int = E
             each = 1 / np.sqrt(np.maximum(part.counts, 1))
             sums = np.diff(np.concatenate([[0.0], np.cumsum(v[part.bins])])[np.concatenate([[0], np.cumsum(part.counts)])])
             z = x @ w + sums * each + b
-            s = 1 / (1 + np.exp(-z.clip(-30, 30)))
-            slope = s * (1 - s)
-            grad = np.zeros(len(rows))
             if prior is None:
-                grad[p], grad[~p] = -slope[p] * 0.5 / max(1, p.sum()), slope[~p] * 0.5 / max(1, (~p).sum())
+                s = 1 / (1 + np.exp(-z.clip(-30, 30)))
+                grad = np.where(p, -s * (1 - s) * 0.5 / p.sum(), s * (1 - s) * 0.5 / (~p).sum())
             else:
-                negative = s[~p].mean() - prior * s[p].mean()
-                if negative >= 0:
-                    grad[p] = (-prior - prior) * slope[p] / p.sum()
-                    grad[~p] = slope[~p] / (~p).sum()
-                else:  # the risk of the negatives is below 0: it goes back up
-                    grad[p] = prior * slope[p] / p.sum()
-                    grad[~p] = -slope[~p] / (~p).sum()
+                grad = risk(z, p, prior)[1]
             grads = [x.T @ grad + 1e-4 * w, np.bincount(part.bins, np.repeat(grad * each, part.counts), minlength=BINS) + 2e-6 * v, grad.sum()]
             step += 1
             rate = 0.02 * (1 - epoch / epochs)
@@ -177,18 +208,72 @@ def _fit(f: Features, positive: np.ndarray, prior: float | None, epochs: int = E
     return Model(log_odds, shift, scale, w, v, b, 0.0, prior if prior is not None else float(share))
 
 
-def best_bin(positives: np.ndarray, unlabelled: np.ndarray) -> float:
-    """The class prior by scores of held-out rows."""
-    p, u = np.sort(positives), np.sort(unlabelled)
+def best_bin(positives: np.ndarray, marks: np.ndarray, counts: np.ndarray) -> float:
+    """The class prior by scores of held-out positives, and of all documents, as how many (counts) have each mark."""
+    by = np.argsort(marks)
+    marks, upto = marks[by], np.concatenate([[0], np.cumsum(counts[by])])
+    p, total = np.sort(positives), upto[-1]
     at = np.unique(p)
-    above_p, above_u = 1 - np.searchsorted(p, at) / len(p), 1 - np.searchsorted(u, at) / len(u)
-    bound = np.sqrt(np.log(4 / 0.1) / 2 / len(u)) + np.sqrt(np.log(4 / 0.1) / 2 / len(p))
+    above_p, above_u = 1 - np.searchsorted(p, at) / len(p), 1 - upto[np.searchsorted(marks, at)] / total
+    bound = np.sqrt(np.log(4 / 0.1) / 2 / total) + np.sqrt(np.log(4 / 0.1) / 2 / len(p))
     least = int(np.argmin((above_u + bound) / above_p))
     return float(np.clip(above_u[least] / above_p[least], 0.05, 0.99))
 
 
+def _all_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """Document counts of all bins, and the number of documents. Each task adds up its own; what it sends is as large for
+    any number of documents, and is added up in ``_PARTS`` tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, rows = np.zeros(BINS, np.int64), 0
+        for batch in batches:
+            for part in W.slices(batch, "text"):
+                counts += document_counts(features(W.flat(part.column("text"))))
+                rows += part.num_rows
+        if rows:
+            yield _parts(counts, rows)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list] = {}
+        for batch in batches:
+            for part, rows, data in zip(*(batch.column(c).to_pylist() for c in ("part", "rows", "data"))):
+                held = sums.setdefault(part, [0, np.zeros(BINS // _PARTS, np.int64)])
+                held[0] += rows
+                held[1] += np.frombuffer(data, np.int64)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([r for r, _ in sums.values()], pa.int64()), pa.array([c.tobytes() for _, c in sums.values()], pa.binary())], names=["part", "rows", "data"])
+
+    schema = "part int, rows bigint, data binary"
+    found = docs.select("text").mapInArrow(run, schema).repartition(_PARTS, "part").mapInArrow(add, schema).collect()  # _PARTS rows
+    counts = np.zeros((_PARTS, BINS // _PARTS), np.int64)
+    for r in found:
+        counts[r.part] = np.frombuffer(r.data, np.int64)
+    return counts.ravel(), max((r.rows for r in found), default=0)
+
+
+def _parts(counts: np.ndarray, rows: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(range(_PARTS), pa.int32()), pa.array([rows] * _PARTS, pa.int64()), pa.array([c.tobytes() for c in np.split(counts, _PARTS)], pa.binary())], names=["part", "rows", "data"])
+
+
+def _all_scores(docs: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """The scores of all documents, in bins: marks and counts."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    reach = 50_000  # marks on either side; scores beyond count as the last
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in W.slices(batch, "text"):
+                marks, n = np.unique(np.floor(_scored(part, held.value) / STEP).clip(-reach, reach).astype(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(marks), pa.array(n)], names=["mark", "n"])
+
+    found = docs.select("text").mapInArrow(run, "mark bigint, n bigint").groupBy("mark").agg({"n": "sum"}).toArrow()  # at most 2 * reach + 1 rows
+    held.unpersist()
+    return found[0].to_numpy() * STEP, found[1].to_numpy()
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fitted on the driver, on at most ``sample`` rows of either sort."""
+    shared.small_batches(docs.sparkSession)
     ids = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.coalesce((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit(False))).alias("good"))
     order = (F.xxhash64("doc_id", F.lit(SEED)), F.col("doc_id"))
     good = ids.where("good").orderBy(*order).limit(sample).select("doc_id", F.lit(True).alias("good"))
@@ -199,30 +284,36 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         for batch in batches:
             for part in W.slices(batch, "text"):
                 f = features(W.flat(part.column("text")))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("good"), W.ragged(f.dense.ravel(), np.full(len(f.counts), DENSE), pa.float32()), W.ragged(f.bins, f.counts, pa.int32())], names=["doc_id", "good", "dense", "bins"])
+                packed = [f.bins[b - n : b].tobytes() for n, b in zip(f.counts.tolist(), np.cumsum(f.counts).tolist())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("good"), pa.array([d.tobytes() for d in f.dense], pa.binary()), pa.array(packed, pa.binary())], names=["doc_id", "good", "dense", "bins"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    read = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(run, f"doc_id {kind}, good boolean, dense array<float>, bins array<int>").toArrow().combine_chunks()
-    read = read.sort_by("doc_id")
-    positive = read["good"].to_numpy()
+    read = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(run, f"doc_id {kind}, good boolean, dense binary, bins binary").toArrow()
+    order_ = pc.sort_indices(read, [("doc_id", "ascending")]).to_numpy()  # whichever order tasks end in
+    positive = read["good"].to_numpy()[order_]
     if not positive.any() or positive.all():
         return NOTHING
-    lists = read["bins"].combine_chunks()
-    lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks)
-    dense = read["dense"].combine_chunks()
-    dense = dense if isinstance(dense, pa.ListArray) else pa.concat_arrays(dense.chunks)
-    f = Features(dense.flatten().to_numpy().reshape(-1, DENSE), np.diff(lists.offsets.to_numpy()).astype(np.int64), lists.flatten().to_numpy().astype(np.int64))
     held = np.random.default_rng(SEED).random(len(positive)) < 0.25
     train, test = np.flatnonzero(~held), np.flatnonzero(held)
     if len(np.unique(positive[train])) < 2 or len(np.unique(positive[test])) < 2:
         train = test = np.arange(len(positive))
-    first = _fit(_rows(f, train), positive[train], None, 8).score(_rows(f, test))
-    prior = best_bin(first[positive[test]], first[~positive[test]])
-    model = _fit(_rows(f, train), positive[train], prior)
-    scores = np.sort(model.score(_rows(f, test))[positive[test]])
+    fitted, kept_back = (_taken(read, order_[rows]) for rows in (train, test))
+    del read
+    everything, total = _all_counts(docs)
+    log_odds = odds(document_counts(_rows(fitted, np.flatnonzero(positive[train]))), int(positive[train].sum()), everything, total)
+    first = _fit(fitted, positive[train], log_odds, None, 8)
+    own = first.score(kept_back)[positive[test]]
+    prior = best_bin(np.floor(own / STEP) * STEP, *_all_scores(docs, first))
+    model = _fit(fitted, positive[train], log_odds, prior)
+    scores = np.sort(model.score(kept_back)[positive[test]])
     return model._replace(threshold=float(scores[int(len(scores) * (1 - KEEP))]))
 
 
+def _taken(read: pa.Table, rows: np.ndarray) -> Features:
+    dense, bins = read["dense"].take(pa.array(rows)), read["bins"].take(pa.array(rows))
+    return Features(np.frombuffer(b"".join(dense.to_pylist()), np.float32).reshape(-1, DENSE), pc.binary_length(bins).to_numpy().astype(np.int64) // 2, np.frombuffer(b"".join(bins.to_pylist()), np.uint16))
+
+
 def _scored(batch: pa.RecordBatch, model: Model) -> np.ndarray:
     return model.score(features(W.flat(batch.column("text"))))
 

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quireflow.llm import shared
 from quireflow.llm import words as W
 
 MIN_WORDS, MAX_COVERED, MAX_LONGEST = 10, 0.3, 100
@@ -158,6 +159,7 @@ def repetition(docs: DataFrame, min_words: int = MIN_WORDS, max_covered: float =
                     names=["doc_id", "n_words", "covered_words", "longest_repeat", "covered_fraction", "keep"],
                 )
 
+    shared.small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words bigint, covered_words bigint, longest_repeat bigint, covered_fraction double, keep boolean")
 
