@@ -2,18 +2,24 @@
 
 The suffixes of all documents are ranked by their first h words for growing h. A rank pair (rank at a place, rank h words
 on) ranks twice as many words: Spark sorts the pairs, equal neighbours get one new rank, and places whose pair is unique
-are dropped, as no longer prefix of theirs repeats. It ends when h reaches the threshold of ``LEAST`` words; what is left
-are the passages of that many words that occur at least twice.
-
-The first ranks, of ``START`` words, are 64-bit hashes, made where the text is. ``START`` is half of ``LEAST``, so that the
-query takes a single pair of ranks and no further round; with a lesser one the rounds run. Most places are unique already then, and
-needn't be sorted to know it: in every ``LEAST`` words, the group of ``ANCHOR`` words with the least hash is an anchor,
-chosen alike wherever the passage stands. Only anchors are shuffled at first, and only places whose anchor occurs twice
-go into the doubling. The result is that of sorting all places, up to collisions of the hashes.
-
-Words are runs of characters other than ASCII white space, compared as they are. A passage may repeat within one
-document. Null ids can't be named and are left out; a document's id is its identity, so repeated rows count once. Null,
-empty and shorter texts have no passages. Other columns are ignored.
+are dropped, as no longer prefix of theirs repeats. Ranks go back to their documents, where those h words apart meet, for
+the next round. It ends when h reaches the threshold of ``LEAST`` words (the last round pairs ranks that overlap); what is
+left are the passages of that many words that occur at least twice.
+
+The first ranks, of ``START`` words, are hashes, made where the text is: two of 32 bits make a pair. Most places are unique at
+that length already, and needn't be sorted to know it. In every ``LEAST`` words, the group of ``ANCHOR`` words with the least
+hash is an anchor, chosen alike wherever the passage stands; only anchors are shuffled at first, and only places whose
+anchor occurs twice go into the doubling. And of documents with the same text only the two with the least ids take part: what
+the second one repeats is its whole text, and so it is for the others. Neither changes the result, which is that of sorting
+all places, up to collisions of the hashes.
+
+Which anchors and texts occur again goes to every executor while these are few (``MOST_SENT``): anchors as a bitmap of a fixed
+size, whose wrong positives the doubling drops. Beyond, documents are joined with their own.
+
+Words are runs of characters other than ASCII white space, compared as they are; characters of scripts without spaces are
+words by themselves (``words.UNSPACED``). A passage may repeat within one document. Null ids can't be named and are left out;
+a document's id is its identity, so repeated rows count once, and of an id with several texts the one of the least hash
+counts. Null, empty and shorter texts have no passages. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,16 +28,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quireflow.llm import shared
 from quireflow.llm import words as W
 from quireflow.llm.winnow import Texts, fingerprints
 
-LEAST, START, ANCHOR = 50, 25, 16
+LEAST, START, ANCHOR = 50, 13, 16
+MOST_SENT, MARKS = 1 << 22, 28  #: MARKS: log2 of the bits of the bitmap of anchors
 
 
 def _read(column: pa.Array) -> Texts:
@@ -104,7 +111,24 @@ def _survivors(docs: DataFrame, id_type: str, anchor: int, window: int) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(h[at])], names=["doc_id", "h"])
 
     anchors = docs.mapInArrow(run, f"h bigint, doc_id {id_type}, place int")
-    return anchors.repartition("h").sortWithinPartitions("h").mapInArrow(twice, f"doc_id {id_type}, h bigint").groupBy("doc_id").agg(F.collect_set("h").alias("anchors"))
+    return anchors.repartition("h").sortWithinPartitions("h").mapInArrow(twice, f"doc_id {id_type}, h bigint")
+
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    """doc_id, the least and the greatest hash of its texts, and the same for another hash."""
+    hashed = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b"))
+    return hashed.groupBy("doc_id").agg(F.min("a").alias("a"), F.max("a").alias("x"), F.min("b").alias("b"), F.max("b").alias("y"))
+
+
+def _copies(hashed: DataFrame) -> DataFrame:
+    """doc_id and whole, the second least id of those that have the same text, for all further ones of these. An id with
+    several texts is no copy."""
+    one = hashed.where("a = x AND b = y").select("doc_id", "a", "b")
+    # the least of all, then of the rest: no list of all copies of a text is made
+    least = one.groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 2").drop("n")
+    later = one.join(least, ["a", "b"]).where("doc_id <> least")
+    second = later.groupBy("a", "b").agg(F.min("doc_id").alias("whole"))
+    return later.join(second, ["a", "b"]).where("doc_id <> whole").select("doc_id", "whole")
 
 
 def _ranked(rows: DataFrame, id_type: str) -> DataFrame:
@@ -123,18 +147,44 @@ def _ranked(rows: DataFrame, id_type: str) -> DataFrame:
     return rows.select("r1", "r2", "doc_id", "place").repartition("r1", "r2").sortWithinPartitions("r1", "r2").mapInArrow(run, f"doc_id {id_type}, place int, rank bigint, first boolean")
 
 
-def repeats(docs: DataFrame, least: int = LEAST, start: int = START, anchor: int = ANCHOR) -> DataFrame:
-    """doc_id, place and first, a row for each place from which ``least`` words occur elsewhere too. start: words of the
-    first ranks, from anchor to half of least."""
-    if not anchor <= start <= least // 2:
-        raise ValueError("anchor <= start <= least / 2 must hold")
+def _ahead(ranked: DataFrame, id_type: str, step: int) -> DataFrame:
+    """The pairs of the next round: the rank at each place and the one ``step`` words on, where there are both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc, place, rank in whole(batches, 1):
+            at = np.cumsum(_starts(doc)) << 32 | place
+            next_ = np.minimum(np.searchsorted(at, at + step), len(at) - 1)
+            both = np.flatnonzero(at[next_] == at + step)
+            yield pa.RecordBatch.from_arrays([pa.array(rank[both]), pa.array(rank[next_[both]]), pa.array(doc[both]), pa.array(place[both])], names=["r1", "r2", "doc_id", "place"])
+
+    return ranked.select("doc_id", "place", "rank").repartition("doc_id").sortWithinPartitions("doc_id", "place").mapInArrow(run, f"r1 bigint, r2 bigint, doc_id {id_type}, place int")
+
+
+def _bitmap(found: DataFrame) -> np.ndarray:
+    """A bit for each anchor that occurs twice; at most MOST_SENT marks come to the driver."""
+    marks = found.select(F.shiftrightunsigned("h", 64 - MARKS).cast("int").alias("m")).distinct().toArrow()["m"].to_numpy()
+    bits = np.zeros(1 << (MARKS - 3), np.uint8)
+    np.bitwise_or.at(bits, marks >> 3, (1 << (marks & 7)).astype(np.uint8))
+    return bits
+
+
+def _places(docs: DataFrame, least: int, start: int, anchor: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, place, r1 and r2 of the places to sort, and the copies that are left out."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    window = least - anchor + 1
-    found = _survivors(docs, id_type, anchor, window)
+    spark, window = docs.sparkSession, least - anchor + 1
+    found, hashed = shared.cut(_survivors(docs, id_type, anchor, window)), shared.cut(_hashed(docs))
+    copies, several = shared.cut(_copies(hashed)), shared.cut(hashed.where("a <> x").select("doc_id", F.col("a").alias("own")))
+    few = max(found.select("h").distinct().count(), copies.count(), several.count()) <= MOST_SENT
+    ids = lambda df: df.toArrow().combine_chunks()
+    held = spark.sparkContext.broadcast((_bitmap(found), ids(copies.select("doc_id")), ids(several)) if few else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if held.value is not None:
+                _, left_out, several = held.value
+                own = several["own"].take(pc.index_in(batch.column("doc_id"), several["doc_id"]))
+                wrong = pc.fill_null(pc.not_equal(own, batch.column("a")), False)
+                batch = batch.filter(pc.invert(pc.or_(pc.is_in(batch.column("doc_id"), left_out["doc_id"]), wrong)))
             for part in W.slices(batch, "text"):
                 texts = _read(part.column("text"))
                 n = len(texts.words)
@@ -145,31 +195,48 @@ def repeats(docs: DataFrame, least: int = LEAST, start: int = START, anchor: int
                     step = min(width, window - width)
                     lowest = np.minimum(lowest[: max(0, len(lowest) - step)], lowest[step:])
                     width += step
-                known = np.unique(part.column("anchors").flatten().to_numpy())
-                fits = np.isin(lowest.view(np.int64), known) & W.within(texts.offsets, least, n)[: len(lowest)]
+                if held.value is not None:
+                    mark = lowest >> np.uint64(64 - MARKS)
+                    fits = (held.value[0][mark >> np.uint64(3)] >> (mark & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                else:
+                    fits = np.isin(lowest.view(np.int64), np.unique(part.column("anchors").flatten().to_numpy()))
+                fits &= W.within(texts.offsets, least, n)[: len(lowest)]
                 # the ranks of later rounds are looked up further on
                 edges = np.zeros(n + 1, np.int64)
                 at = np.flatnonzero(fits)
                 np.add.at(edges, at, 1)
                 np.add.at(edges, at + least - 2 * start + 1, -1)
                 at = np.flatnonzero(np.cumsum(edges)[:-1] > 0)
-                ranks = W.grams(texts.words, start).view(np.int64)
+                ranks = (W.grams(texts.words, start) >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 owner = W.owners(texts.offsets)[at]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(owner)), pa.array((at - texts.offsets[owner]).astype(np.int32)), pa.array(ranks[at]), pa.array(ranks[at + start])], names=["doc_id", "place", "r1", "r2"])
+                yield pa.RecordBatch.from_arrays([pa.array(ranks[at]), pa.array(ranks[at + start]), part.column("doc_id").take(pa.array(owner)), pa.array((at - texts.offsets[owner]).astype(np.int32))], names=["r1", "r2", "doc_id", "place"])
+
+    docs = docs.withColumn("a", F.xxhash64("text"))
+    if not few:
+        docs = docs.join(several, "doc_id", "left").where("own IS NULL OR own = a").drop("own")
+        docs = docs.join(found.join(copies, "doc_id", "left_anti").groupBy("doc_id").agg(F.collect_set("h").alias("anchors")), "doc_id")
+    return docs.mapInArrow(run, f"r1 int, r2 int, doc_id {id_type}, place int"), copies
 
-    rows = docs.join(found, "doc_id").mapInArrow(run, f"doc_id {id_type}, place int, r1 bigint, r2 bigint")
+
+def _doubled(rows: DataFrame, id_type: str, least: int, start: int) -> DataFrame:
     ranked, h = _ranked(rows, id_type), 2 * start
     while h < least:
         step = min(h, least - h)
-        ahead = Window.partitionBy("doc_id").orderBy("place").rangeBetween(step, step)
-        ranked = shared.cut(ranked).select("doc_id", "place", F.col("rank").alias("r1"), F.max("rank").over(ahead).alias("r2")).where("r2 IS NOT NULL")
-        ranked, h = _ranked(ranked, id_type), h + step
-    return ranked.select("doc_id", "place", "first")
+        ranked, h = _ranked(_ahead(ranked, id_type, step), id_type), h + step
+    return ranked
+
+
+def _prepared(docs: DataFrame, least: int, start: int) -> tuple[DataFrame, str]:
+    if not 1 <= start <= least // 2:
+        raise ValueError("1 <= start <= least / 2 must hold")
+    shared.small_batches(docs.sparkSession)
+    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text"), docs.schema["doc_id"].dataType.simpleString()
 
 
 def passages(docs: DataFrame, least: int = LEAST, start: int = START, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, span_start, span_end (places of words), n_words and later_words (those of them in passages that occur
-    before, by doc_id and place), a row for each span of repeated passages that overlap or touch."""
+    before, by doc_id and place), a row for each span of repeated passages that overlap or touch. start: words of the first
+    ranks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, place, first in whole(batches, 1):
@@ -186,9 +253,13 @@ def passages(docs: DataFrame, least: int = LEAST, start: int = START, anchor: in
             words = np.bincount((np.cumsum(new) - 1)[later], reach, minlength=len(starts))
             yield pa.RecordBatch.from_arrays([pa.array(doc[starts]), *(pa.array(x.astype(np.int32)) for x in (a, b, b - a, words))], names=["doc_id", "span_start", "span_end", "n_words", "later_words"])
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = repeats(docs, least, start, anchor).repartition("doc_id").sortWithinPartitions("doc_id", "place")
-    return rows.mapInArrow(run, f"doc_id {id_type}, span_start int, span_end int, n_words int, later_words int")
+    docs, id_type = _prepared(docs, least, start)
+    places, copies = _places(docs, least, start, anchor)
+    ranked = _doubled(places, id_type, least, start).select("doc_id", "place", "first")
+    spans = ranked.repartition("doc_id").sortWithinPartitions("doc_id", "place").mapInArrow(run, f"doc_id {id_type}, span_start int, span_end int, n_words int, later_words int")
+    # copies repeat all that the second of their text does, and none of it first
+    again = copies.join(spans.select(F.col("doc_id").alias("whole"), "span_start", "span_end", "n_words"), "whole")
+    return spans.unionByName(again.select("doc_id", "span_start", "span_end", "n_words", F.col("n_words").alias("later_words")))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,7 +267,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = f"""
-WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+') AS words FROM documents WHERE doc_id IS NOT NULL),
+WITH w AS (SELECT doc_id, {W.SQL_WORDS} AS words FROM documents WHERE doc_id IS NOT NULL),
 g AS (SELECT doc_id, i - 1 AS place, md5(array_to_string(words[i : i + {LEAST - 1}], ' ')) AS gram FROM w, unnest(range(1, len(words) - {LEAST - 2})) AS t(i)),
 r AS (SELECT doc_id, place, row_number() OVER (PARTITION BY gram ORDER BY doc_id, place) = 1 AS first FROM g QUALIFY count(*) OVER (PARTITION BY gram) > 1),
 s AS (SELECT *, coalesce(place - lag(place) OVER (PARTITION BY doc_id ORDER BY place) > {LEAST}, true) AS new,

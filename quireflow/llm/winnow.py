@@ -200,7 +200,7 @@ def op9_winnowing(spark, sf_dir: str) -> DataFrame:
 def _sql_words(table: str, key: str) -> str:
     return f"""SELECT {key}, place, word, row_number() OVER (PARTITION BY {key} ORDER BY place) AS j FROM (
     SELECT {key}, t.i - 1 AS place, lower(regexp_replace(ws[t.i], '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS word
-    FROM (SELECT {key}, regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+') AS ws FROM {table}), unnest(range(1, len(ws) + 1)) AS t(i))
+    FROM (SELECT {key}, {W.SQL_WORDS} AS ws FROM {table}), unnest(range(1, len(ws) + 1)) AS t(i))
   WHERE word <> ''"""
 
 

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import SMALL, same_rows
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quireflow.llm import archives, bpe, jaccard, pii, preferences, quality, registry, repetition, store, suffixes, winnow
@@ -165,7 +166,7 @@ def test_counts_are_those_of_all_documents(spark):
     counts, n = quality._all_counts(frame(spark, rows).repartition(5))
     want = np.zeros(quality.BINS, np.int64)
     for _, t in rows:
-        want[list(set(quality.features(pa.array([t])).bins.tolist()))] += 1
+        np.add.at(want, quality.features(pa.array([t])).bins, 1)
     assert n == 300 and counts.tolist() == want.tolist()
 
 
@@ -317,7 +318,9 @@ def test_store(spark, odd, none, tmp_path):
     assert store.verify(spark, str(tmp_path / "none")).count() == 0
 
 
-def test_store_misses_recipes_and_sees_others(spark, tmp_path):
+def test_store_misses_recipes_and_sees_others(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "IN_BUCKET", 1)
+    monkeypatch.setattr(store, "FANOUT", 2)
     docs = [(i, t) for i, t in enumerate(texts(6, 6, 400)) if t]
     path = f"{tmp_path}/store"
     store.write(bpe.encode(frame(spark, docs), check=False), path, width=2)
@@ -325,6 +328,9 @@ def test_store_misses_recipes_and_sees_others(spark, tmp_path):
     recipes = spark.read.parquet(f"{path}/recipes").toPandas()
     checked = lambda at: {r.doc_id: r.verified for r in store.verify(spark, at, manifest).collect()}
     assert checked(path) == {i: True for i, _ in docs}
+    for level in {r.level for r in manifest.collect()}:
+        other = manifest.withColumn("root", F.when(F.col("level") == level, F.lit("0")).otherwise(F.col("root")))
+        assert not any(r.verified for r in store.verify(spark, path, other).collect())
 
     def changed(name, made):
         spark.read.parquet(f"{path}/chunks").write.parquet(f"{tmp_path}/{name}/chunks")
@@ -341,6 +347,36 @@ def test_store_misses_recipes_and_sees_others(spark, tmp_path):
     assert changed("stream", stream) == {i: i != gone for i, _ in docs}
 
 
+def test_chunks_by_a_naive_rolling_hash(spark):
+    rng, mask = np.random.default_rng(2), (1 << 64) - 1
+    streams = [rng.integers(0, 300, n).tolist() for n in (0, 1, 31, 33, 900, 5000)] + [[7] * 4000]
+
+    def cut(ids):
+        ends, at = [], 0
+        mixed = [int(W.mix(np.array([i + 1], np.uint64))[0]) for i in ids]
+        for end in range(1, len(ids) + 1):
+            value = sum(x * pow(W.BASE, k, mask + 1) for k, x in enumerate(mixed[max(0, end - store.WINDOW) : end])) & mask
+            low = int(W.mix(np.array([value], np.uint64))[0]) & ((1 << store.BITS) - 1)
+            if end == len(ids) or end - at == store.MOST or (end - at >= store.LEAST and end >= store.WINDOW and low == 0):
+                ends.append(end)
+                at = end
+        return ends
+
+    offsets = np.concatenate([[0], np.cumsum([len(s) for s in streams])])
+    ends, counts = store.edges(np.array([i for s in streams for i in s]), offsets)
+    at = np.concatenate([[0], np.cumsum(counts)])
+    for k, s in enumerate(streams):
+        assert (ends[at[k] : at[k + 1]] - offsets[k]).tolist() == cut(s)
+
+
+def test_a_very_long_stream_is_stored_and_rebuilt(spark, tmp_path):
+    ids = np.random.default_rng(3).integers(0, 50_000, 2_000_000).tolist()
+    encoded = spark.createDataFrame([(1, ids), (1, ids)], "doc_id long, token_ids array<int>")
+    store.write(encoded, f"{tmp_path}/long", width=2)
+    assert [r.verified for r in store.verify(spark, f"{tmp_path}/long", spark.read.parquet(f"{tmp_path}/long/manifest")).collect()] == [True, True]
+    assert store.rebuild(spark, f"{tmp_path}/long", width=2).first().token_ids == ids
+
+
 def test_chunks_follow_the_content():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 50_000, 20_000)
@@ -352,31 +388,41 @@ def test_chunks_follow_the_content():
 # 8
 
 
-def test_passages_by_brute_force(spark):
-    rows = list(enumerate(texts(8, 40, 40, WORDS[:5])))
-    least = 6
-    where: dict = {}
-    for i, t in rows:
-        w = t.split()
-        for p in range(len(w) - least + 1):
-            where.setdefault(tuple(w[p : p + least]), []).append((i, p))
-    want = {x for xs in where.values() if len(xs) > 1 for x in xs}
-    firsts = {min(xs) for xs in where.values() if len(xs) > 1}
-    got = suffixes.repeats(frame(spark, rows + [rows[3]]), least, 3, 2).collect()
-    assert {(r.doc_id, r.place) for r in got} == want and len(got) == len(want) and {(r.doc_id, r.place) for r in got if r["first"]} == firsts
-
-
-@pytest.mark.parametrize("least", [7, 13])
-def test_passages_by_rounds_of_doubling(spark, least):
-    rows = list(enumerate(texts(12, 30, 60, WORDS[:2])))
+def spanned(rows: list[tuple[int, str]], least: int) -> list[tuple]:
+    """The spans of repeated passages, by comparing all places."""
     where: dict = {}
-    for i, t in rows:
+    for i, t in set(rows):
         w = t.split()
         for p in range(len(w) - least + 1):
-            where.setdefault(tuple(w[p : p + least]), []).append((i, p))
-    want = {x for xs in where.values() if len(xs) > 1 for x in xs}
-    got = suffixes.repeats(frame(spark, rows), least, 3, 2).collect()
-    assert want and {(r.doc_id, r.place) for r in got} == want and len(got) == len(want)
+            where.setdefault(tuple(w[p : p + least]), set()).add((i, p))
+    places = sorted({x for xs in where.values() if len(xs) > 1 for x in xs})
+    later = {(i, p + k) for xs in where.values() if len(xs) > 1 for i, p in sorted(xs)[1:] for k in range(least)}
+    spans: list[list[int]] = []
+    for i, p in places:
+        if spans and spans[-1][0] == i and p <= spans[-1][2]:
+            spans[-1][2] = p + least
+        else:
+            spans.append([i, p, p + least])
+    return [(i, a, b, b - a, sum((i, k) in later for k in range(a, b))) for i, a, b in spans]
+
+
+@pytest.mark.parametrize("most_sent", [suffixes.MOST_SENT, 0])
+@pytest.mark.parametrize("least,start", [(6, 3), (7, 3), (13, 2), (13, 1), (12, 5)])
+def test_passages_by_brute_force(spark, monkeypatch, least, start, most_sent):
+    """Of one to four rounds; with copies, a repeated row and an id with two texts."""
+    monkeypatch.setattr(suffixes, "MOST_SENT", most_sent)
+    rows = list(enumerate(texts(8, 25, 40, WORDS[:5]) + texts(12, 15, 60, WORDS[:2])))
+    rows += [(100 + i, rows[i % 3][1]) for i in range(9)] + [(200, rows[5][1]), (3, rows[6][1]), (201, " ".join(WORDS * 9)), (202, " ".join(WORDS * 9)), (203, " ".join(WORDS * 9))]
+    docs = frame(spark, rows + [rows[3]])
+    got = suffixes.passages(docs, least, start, 2).collect()
+    own = {r.doc_id: r.text for r in docs.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")).collect()}
+    want = spanned(list(own.items()), least)
+    assert want and sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_rounds_of_doubling_are_in_the_plan(spark):
+    plan = suffixes.passages(frame(spark, [(1, "a b")]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression [r1") >= 2 and suffixes.LEAST > 2 * suffixes.START
 
 
 def test_passages_of_odd_rows(odd, none):
