@@ -3,9 +3,11 @@
 A rolling hash over ``WINDOW`` ids cuts each id stream where its low bits are zero, so that equal passages give equal
 chunks wherever they stand; chunks have ``LEAST`` to ``MOST`` ids (the last of a document may have fewer). A chunk is
 named by the SHA-256 of its ids. The store has three tables in one folder: ``chunks`` (digest, n_ids, data; each once),
-``recipes`` (doc_id, n_ids, digests in order, Merkle root, a polynomial of the whole stream of ids) and ``manifest`` (Merkle root of each of ``BUCKETS`` groups
-of recipes, and one of all). ``verify`` recomputes every chunk's digest from its data, looks up every digest of every
-recipe, and recomputes the roots, those of the manifest if it is given, and the polynomials; ``rebuild`` gives the ids back.
+``recipes`` (recipe, a number of its own, doc_id, n_ids, digests in order, where each begins, Merkle root, a polynomial of
+the whole stream of ids) and ``manifest`` (level, node, n_docs and root: a Merkle tree over all recipes. Its leaves, at level
+0, are buckets of about ``IN_BUCKET`` recipes, by their roots and ids in order; each further node has up to ``FANOUT`` below it,
+until one is left). ``verify`` recomputes every chunk's digest from its data, looks up every digest of every recipe, and
+recomputes the roots, those of the manifest if it is given, and the polynomials; ``rebuild`` gives the ids back.
 
 Null ids of tokens give a recipe without chunks and with a null n_ids; an empty stream one with n_ids 0. The root of no
 chunks is the SHA-256 of nothing. Every input row gives one recipe, repeated rows and null doc_ids included. Other
@@ -19,13 +21,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quireflow.llm import bpe, shared
 from quireflow.llm import words as W
 
-WINDOW, BITS, LEAST, MOST, BUCKETS = 16, 7, 32, 1024, 256
+WINDOW, BITS, LEAST, MOST, IN_BUCKET, FANOUT = 16, 7, 32, 1024, 4096, 256
 
 
 def edges(ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,6 +89,7 @@ def _pieces(encoded: DataFrame, width: int) -> DataFrame:
     """A row for each document: n_ids, digests and data of its chunks, and the root."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = 0
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
                 part = batch.slice(a, 1024)
@@ -93,18 +98,22 @@ def _pieces(encoded: DataFrame, width: int) -> DataFrame:
                 ids = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
                 offsets = offsets - offsets[0]
                 ends, counts = edges(ids, offsets)
+                numbers = np.arange(part.num_rows) + (TaskContext.get().partitionId() << 40) + row
+                row += part.num_rows
                 data = ids.astype(f"<u{width}").tobytes()
-                first = np.concatenate([[0], ends[:-1]]).tolist() if len(ends) else []
+                begins = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+                first = begins.tolist()
                 chunks = [data[width * s : width * e] for s, e in zip(first, ends.tolist())]
                 digests = [hashlib.sha256(c).digest() for c in chunks]
                 upto = np.concatenate([[0], np.cumsum(counts)]).tolist()
                 roots = [merkle(digests[s:e]) for s, e in zip(upto, upto[1:])]
                 none = lists.is_null().to_numpy(zero_copy_only=False)
-                listed = lambda v: pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(v, pa.binary()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets), pa.int64(), mask=none), listed(digests), listed(chunks), pa.array(roots, pa.binary()), pa.array(streams(ids, offsets).view(np.int64))], names=["doc_id", "n_ids", "digests", "data", "root", "stream"])
+                listed = lambda v: pa.ListArray.from_arrays(pa.array(upto, pa.int32()), v)
+                starts = pa.array((begins - np.repeat(offsets[:-1], counts)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(numbers), part.column("doc_id"), pa.array(np.diff(offsets), pa.int64(), mask=none), listed(pa.array(digests, pa.binary())), listed(starts), listed(pa.array(chunks, pa.binary())), pa.array(roots, pa.binary()), pa.array(streams(ids, offsets).view(np.int64))], names=["recipe", "doc_id", "n_ids", "digests", "starts", "data", "root", "stream"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "token_ids").mapInArrow(run, f"doc_id {kind}, n_ids bigint, digests array<binary>, data array<binary>, root binary, stream bigint")
+    return encoded.select("doc_id", "token_ids").mapInArrow(run, f"recipe bigint, doc_id {kind}, n_ids bigint, digests array<binary>, starts array<int>, data array<binary>, root binary, stream bigint")
 
 
 def write(encoded: DataFrame, path: str, width: int = 4) -> None:
@@ -118,98 +127,126 @@ def write(encoded: DataFrame, path: str, width: int = 4) -> None:
     pairs = pieces.select(F.explode(F.arrays_zip("digests", "data")).alias("c")).select("c.digests", "c.data")
     # equal digests have equal data, so any row stands for all
     pairs.groupBy(F.col("digests").alias("digest")).agg(F.first("data").alias("data")).select("digest", (F.octet_length("data") / width).cast("int").alias("n_ids"), "data").write.option("compression", "zstd").parquet(f"{path}/chunks")
-    pieces.select("doc_id", "n_ids", "digests", "root", "stream").write.parquet(f"{path}/recipes")
-    _roots(pieces).write.parquet(f"{path}/manifest")
-    _remove(spark, f"{path}/pieces")
+    pieces.select("recipe", "doc_id", "n_ids", "digests", "starts", "root", "stream").write.parquet(f"{path}/recipes")
+    manifest(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
+    shared.remove(spark, f"{path}/pieces")
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def _buckets(recipes: int) -> int:
+    """How many for so many recipes: a power of two."""
+    return 1 << max(0, (recipes // IN_BUCKET).bit_length())
 
 
-def _bucket() -> Column:
-    return F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("bigint")
 
 
-def _roots(recipes: DataFrame) -> DataFrame:
-    """bucket, n_docs and root for each bucket of recipes, in order of id and root."""
+def _leaves(recipes: DataFrame, buckets: int) -> DataFrame:
+    """node, n_docs and root of each bucket."""
     leaf = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"), F.lit("/").cast("binary"), F.col("root")), 256)
-    return recipes.select(_bucket().alias("bucket"), leaf.alias("leaf")).groupBy("bucket").agg(F.count("*").alias("n_docs"), F.sha2(F.array_join(F.array_sort(F.collect_list("leaf")), "").cast("binary"), 256).alias("root"))
+    return recipes.select(_bucket(buckets).alias("node"), leaf.alias("leaf")).groupBy("node").agg(F.count("*").alias("n_docs"), F.sha2(F.array_join(F.array_sort(F.collect_list("leaf")), "").cast("binary"), 256).alias("root"))
 
 
-def root(manifest: DataFrame) -> str:
-    """The root of the whole store; at most BUCKETS rows come to the driver."""
-    return merkle([f"{r.bucket}:{r.root}".encode() for r in sorted(manifest.collect(), key=lambda r: r.bucket)]).hex()
+def _tree(leaves: DataFrame, buckets: int) -> DataFrame:
+    """level, node, n_docs and root of the leaves and of all nodes above them."""
+    level, nodes = 0, buckets
+    at = leaves.select(F.lit(0).alias("level"), "node", "n_docs", "root")
+    out = at
+    while nodes > 1:
+        level, nodes = level + 1, -(-nodes // FANOUT)
+        below = F.transform(F.array_sort(F.collect_list(F.struct("node", "root"))), lambda x: F.concat(x["node"].cast("string"), F.lit(":"), x["root"]))
+        at = at.select("node", F.floor(F.col("node") / FANOUT).alias("above"), "n_docs", "root").groupBy("above").agg(F.sum("n_docs").alias("n_docs"), F.sha2(F.array_join(below, ",").cast("binary"), 256).alias("root"))
+        at = at.select(F.lit(level).alias("level"), F.col("above").alias("node"), "n_docs", "root")
+        out = out.unionByName(at)
+    return out
+
+
+def manifest(recipes: DataFrame) -> DataFrame:
+    """level, node, n_docs, root and buckets (how many leaves there may be), a row for each node of the tree over the recipes."""
+    buckets = _buckets(recipes.count())
+    return _tree(shared.cut(_leaves(recipes, buckets)), buckets).withColumn("buckets", F.lit(buckets).cast("bigint"))
+
+
+def root(manifest: DataFrame) -> str | None:
+    """The root of the whole store; none if it is empty."""
+    top = manifest.orderBy(F.desc("level")).select("root").first()
+    return top and top[0]
 
 
 def verify(spark: SparkSession, path: str, manifest: DataFrame | None = None) -> DataFrame:
     """doc_id, n_ids, n_chunks, root (in hexadecimal) and verified for each recipe of a store.
 
-    Verified: every chunk is there, its data has the digest that names it, the chunks have n_ids ids together and in their
-    order give the polynomial of the whole stream of ids, the root is that of the digests, and, with a manifest, so is the
-    root of the recipe's bucket. A bucket of the manifest without recipes is a row without an id that isn't verified.
+    Verified: every chunk is there, its data has the digest that names it, the chunks have n_ids ids together, follow each
+    other and give the polynomial of the whole stream of ids, the root is that of the digests, and, with a manifest, so is
+    the root of the recipe's bucket, and those of the nodes above it. A bucket of the manifest without recipes is a row without an id that isn't verified.
     """
     recipes, chunks = spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/chunks")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, n = batch.column("data").to_pylist(), np.maximum(batch.column("n_ids").fill_null(0).to_numpy(zero_copy_only=False), 1).astype(np.int64)
-            sizes = np.array([len(x) for x in data], np.int64)
+            data = batch.column("data")
+            n = np.maximum(batch.column("n_ids").fill_null(0).to_numpy(zero_copy_only=False), 1).astype(np.int64)
             for width in (2, 4):
-                at = np.flatnonzero(sizes == width * n)
-                ids = np.frombuffer(b"".join([data[i] for i in at]), f"<u{width}")
+                at = np.flatnonzero(pc.binary_length(data).to_numpy(zero_copy_only=False) == width * n)
+                if not len(at):
+                    continue
+                own = data.take(pa.array(at)) if len(at) < len(n) else data
+                edges_ = np.frombuffer(own.buffers()[1], np.int32, len(own) + 1, own.offset * 4)
+                ids = np.frombuffer(own.buffers()[2], f"<u{width}", (int(edges_[-1]) - int(edges_[0])) // width, int(edges_[0]))
                 made = streams(ids, np.concatenate([[0], np.cumsum(n[at])]))
                 yield pa.RecordBatch.from_arrays([batch.column("digest").take(pa.array(at)), pa.array(n[at]), pa.array(made.view(np.int64))], names=["d", "n", "h"])
 
     sound = chunks.where(F.unhex(F.sha2("data", 256)) == F.col("digest")).select("digest", "n_ids", "data").mapInArrow(hashed, "d binary, n bigint, h bigint")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # each chunk's part of the stream's polynomial, in halves, so that sums don't overflow
+        powers = _powers(MOST)
         for batch in batches:
-            good = [merkle(d) == r for d, r in zip(batch.column("digests").to_pylist(), batch.column("root").to_pylist())]
-            yield batch.append_column("rooted", pa.array(good, pa.bool_()))
-
-    schema = recipes.schema.simpleString()[7:-1] + ",rooted:boolean"
-    named = recipes.mapInArrow(run, schema.replace(":", " ", 0))
-    wanted = named.select("doc_id", "n_ids", "root", "stream", "rooted", F.size("digests").alias("n_chunks"), F.posexplode_outer("digests").alias("at", "d"))
-    key = F.struct("doc_id", "n_ids", "root", "stream", "rooted", "n_chunks")
-    parts = F.array_sort(F.collect_set(F.when(F.col("n").isNotNull(), F.struct("at", "n", "h"))))
-    # repeated rows have equal keys: how many there are is found again by dividing
-    joined = wanted.join(sound, "d", "left").groupBy(key.alias("k")).agg(F.count("n").alias("found"), F.coalesce(F.sum("n"), F.lit(0)).alias("ids"), F.count("*").alias("rows"), parts.alias("parts"))
-    copies = F.greatest(F.col("rows") / F.greatest(F.col("k.n_chunks"), F.lit(1)), F.lit(1)).cast("int")
-    held = F.col("k.rooted") & (F.col("found") == F.col("k.n_chunks") * copies) & (F.col("ids") == F.coalesce(F.col("k.n_ids"), F.lit(0)) * copies)
-    flat = joined.select("k.doc_id", "k.n_ids", "k.n_chunks", F.hex("k.root").alias("root"), held.alias("held"), copies.alias("copies"), "k.stream", F.col("parts.n").alias("n"), F.col("parts.h").alias("h"))
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            start = batch.column("start").to_numpy().astype(np.int64)
+            if len(start) and start.max() >= len(powers):
+                powers = _powers(2 * int(start.max()))
+            part = batch.column("h").to_numpy().view(np.uint64) * powers[start]
+            yield pa.RecordBatch.from_arrays([batch.column("recipe"), batch.column("n"), pa.array((part >> np.uint64(32)).view(np.int64)), pa.array((part & np.uint64(0xFFFFFFFF)).view(np.int64))], names=["recipe", "n", "high", "low"])
+
+    named = recipes.select("recipe", F.explode(F.arrays_zip("digests", "starts")).alias("c")).select("recipe", F.col("c.starts").alias("start"), F.col("c.digests").alias("d"))
+    found = named.join(sound, "d").select("recipe", "start", "n", "h").mapInArrow(moved, "recipe bigint, n bigint, high bigint, low bigint")
+    found = found.groupBy("recipe").agg(F.count("*").alias("found"), F.sum("n").alias("ids"), F.sum("high").alias("high"), F.sum("low").alias("low"))
+
+    def rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ends = np.asarray(batch.column("n").offsets).astype(np.int64)
-            ends = ends - ends[0]
-            n, h = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("n", "h"))
-            before = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
-            at = before[:-1] - np.repeat(before[ends[:-1]], np.diff(ends))
-            made = _sums(h.astype(np.int64).view(np.uint64) * _powers(int(at.max(initial=0)))[at], ends).view(np.int64)
-            good = batch.column("held").to_numpy(zero_copy_only=False).astype(bool) & (made == batch.column("stream").to_numpy())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n_ids", "n_chunks", "root")), pa.array(good), batch.column("copies")], names=["doc_id", "n_ids", "n_chunks", "root", "verified", "copies"])
+            good = [merkle(d) == r for d, r in zip(batch.column("digests").to_pylist(), batch.column("root").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("recipe", "doc_id", "n_ids", "root", "stream")), pa.array([len(d) for d in batch.column("digests").to_pylist()], pa.int32()), pa.array(good, pa.bool_())], names=["recipe", "doc_id", "n_ids", "root", "stream", "n_chunks", "rooted"])
 
     kind = recipes.schema["doc_id"].dataType.simpleString()
-    rows = flat.mapInArrow(whole, f"doc_id {kind}, n_ids bigint, n_chunks int, root string, verified boolean, copies int")
-    rows = rows.select("doc_id", "n_ids", "n_chunks", "root", "verified", F.explode(F.sequence(F.lit(1), "copies")).alias("_")).drop("_")
+    own = recipes.select("recipe", "doc_id", "n_ids", "root", "stream", "digests").mapInArrow(rooted, f"recipe bigint, doc_id {kind}, n_ids bigint, root binary, stream bigint, n_chunks int, rooted boolean")
+    both = own.join(found, "recipe", "left")
+    of = lambda c: F.coalesce(F.col(c), F.lit(0))
+    high = (of("high") + F.shiftright(of("low"), 32)).bitwiseAND(F.lit(0xFFFFFFFF))
+    same = (F.shiftrightunsigned("stream", 32) == high) & (F.col("stream").bitwiseAND(F.lit(0xFFFFFFFF)) == of("low").bitwiseAND(F.lit(0xFFFFFFFF)))
+    rows = both.select("doc_id", "n_ids", "n_chunks", F.hex("root").alias("root"), (F.col("rooted") & (of("found") == F.col("n_chunks")) & (of("ids") == of("n_ids")) & same).alias("verified"))
     if manifest is None:
         return rows
-    now = _roots(recipes).select(F.col("bucket").alias("b"), F.col("n_docs").alias("docs_now"), F.col("root").alias("root_now"))
-    both = shared.cut(manifest.join(now, F.col("bucket") == F.col("b"), "full"))  # at most BUCKETS rows
-    same = both.where("b IS NOT NULL").select("b", F.coalesce((F.col("root") == F.col("root_now")) & (F.col("n_docs") == F.col("docs_now")), F.lit(False)).alias("same"))
-    rows = rows.join(F.broadcast(same), _bucket() == F.col("b"), "left").select("doc_id", "n_ids", "n_chunks", "root", (F.col("verified") & F.coalesce("same", F.lit(False))).alias("verified"))
-    lost = both.where("b IS NULL").selectExpr(f"CAST(NULL AS {kind}) AS doc_id", "CAST(NULL AS bigint) AS n_ids", "CAST(NULL AS int) AS n_chunks", "CAST(NULL AS string) AS root", "false AS verified")
-    return rows.unionByName(lost)
+    given = manifest.select("buckets").first()
+    if given is None:
+        return rows.withColumn("verified", F.lit(False))
+    buckets = given[0]
+    now = _tree(shared.cut(_leaves(recipes, buckets)), buckets).select("level", "node", F.col("n_docs").alias("docs_now"), F.col("root").alias("root_now"))
+    both = shared.cut(manifest.drop("buckets").join(now, ["level", "node"], "full").select("level", "node", "root_now", F.coalesce((F.col("root") == F.col("root_now")) & (F.col("n_docs") == F.col("docs_now")), F.lit(False)).alias("same")))
+    # a bucket's own root tells which recipes are whole; the nodes above must follow from the leaves that the manifest has
+    leaves = manifest.where("level = 0").select("node", "n_docs", "root")
+    told = _tree(leaves, buckets).join(manifest.select("level", "node", F.col("root").alias("given")), ["level", "node"], "left")
+    sound_tree = told.where("given IS NULL OR given <> root").isEmpty()
+    kept = both.where("level = 0 AND root_now IS NOT NULL").select("node", (F.col("same") & F.lit(sound_tree)).alias("same"))
+    checked = rows.withColumn("node", _bucket(buckets)).join(kept, "node", "left").select("doc_id", "n_ids", "n_chunks", "root", (F.col("verified") & F.coalesce("same", F.lit(False))).alias("verified"))
+    lost = both.where("level = 0 AND root_now IS NULL").selectExpr(f"CAST(NULL AS {kind}) AS doc_id", "CAST(NULL AS bigint) AS n_ids", "CAST(NULL AS int) AS n_chunks", "CAST(NULL AS string) AS root", "false AS verified")
+    return checked.unionByName(lost)
 
 
 def rebuild(spark: SparkSession, path: str, width: int = 4) -> DataFrame:
-    """doc_id and token_ids from a store; a row for each distinct recipe."""
+    """doc_id and token_ids from a store; a row for each recipe."""
     recipes, chunks = spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/chunks")
-    parts = recipes.distinct().select("doc_id", "n_ids", "root", F.posexplode_outer("digests").alias("at", "digest")).join(chunks.select("digest", "data"), "digest", "left")
-    whole = parts.groupBy("doc_id", "n_ids", "root").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "data"))), lambda x: x["data"]).alias("data"))
+    parts = recipes.select("recipe", "doc_id", "n_ids", F.posexplode_outer("digests").alias("at", "digest")).join(chunks.select("digest", "data"), "digest", "left")
+    whole = parts.groupBy("recipe", "doc_id", "n_ids").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "data"))), lambda x: x["data"]).alias("data"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
