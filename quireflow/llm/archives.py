@@ -8,7 +8,9 @@ not the archives, are what is spread over the executors. A member without lines
 by record. Nothing is extracted to a disk.
 
 What can't be read gives a row with ``error`` and no content: a file that isn't a ZIP, a deflated archive, a record that
-is damaged. Paths may be of any file system that Arrow knows. An empty list of paths gives no rows.
+is damaged, a line of an index that can't be read or points outside of its archive. What the lines leave out of a member is
+read in order, so no record is lost. Paths may be of any file system that Arrow knows; null ones are left out, one that is
+given twice is read twice. An empty list of paths gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -53,6 +55,8 @@ def opened(path: str):
 
 
 def _at(file, start: int, size: int) -> bytes:
+    if start < 0 or size < 0:
+        raise Damaged(f"{size} bytes at {start}")
     file.seek(start)
     data = file.read(size)
     if len(data) < size:
@@ -125,22 +129,33 @@ def _plan(path: str) -> Iterator[dict]:
                 for line in _content(file, m).decode("utf-8", "replace").splitlines():
                     at = line.find("{")
                     if at >= 0:
-                        entry = json.loads(line[at:])
-                        lines.setdefault(str(entry["filename"]).rpartition("/")[2], set()).add((int(entry["offset"]), int(entry["length"])))
+                        try:
+                            entry = json.loads(line[at:])
+                            place = int(entry["offset"]), int(entry["length"])
+                            lines.setdefault(str(entry["filename"]).removeprefix("archive/"), set()).add(place)
+                        except (ValueError, KeyError, TypeError) as e:
+                            yield dict(path=path, member=m.name, start=0, size=0, base=0, offsets=[], lengths=[], error=f"an index line can't be read: {e}")
         for m in members:
             if not re.fullmatch(r"archive/.*\.warc(\.gz)?", m.name):
                 continue
             if m.method:
                 yield dict(path=path, member=m.name, start=0, size=0, base=0, offsets=[], lengths=[], error="the archive is deflated")
                 continue
-            base, places = data_start(file, m), sorted(lines.get(m.name.rpartition("/")[2], ()))
+            base, places = data_start(file, m), sorted(lines.get(m.name.removeprefix("archive/"), ()))
+            places = [p for p in places if p[1] > 0 and 0 <= p[0] < m.packed] if m.packed else places
+            for offset, length in sorted(lines.get(m.name.removeprefix("archive/"), set()) - set(places)):
+                yield dict(path=path, member=m.name, start=base, size=0, base=base, offsets=[offset], lengths=[length], error=None)
             if not places:
                 yield dict(path=path, member=m.name, start=base, size=m.packed, base=base, offsets=None, lengths=None, error=None)
+            else:
+                # what the index leaves out is read in order; a gap that holds no record gives an error row
+                for a, b in _gaps(places, m.packed):
+                    yield dict(path=path, member=m.name, start=base + a, size=b - a, base=base, offsets=None, lengths=None, error=None)
             group: list[tuple[int, int]] = []
             for offset, length in [*places, (-1, 0)]:
                 if group and (offset < 0 or offset + length - group[0][0] > RANGE):
                     last = max(o + n for o, n in group)
-                    yield dict(path=path, member=m.name, start=base + group[0][0], size=min(last, m.packed) - group[0][0], base=base, offsets=[o for o, _ in group], lengths=[n for _, n in group], error=None)
+                    yield dict(path=path, member=m.name, start=base + max(0, group[0][0]), size=min(last, m.packed) - max(0, group[0][0]), base=base, offsets=[o for o, _ in group], lengths=[n for _, n in group], error=None)
                     group = []
                 if offset >= 0:
                     group.append((offset, length))
@@ -152,7 +167,10 @@ def _parsed(raw: bytes) -> dict:
     if not first.startswith("WARC/"):
         raise Damaged("no record begins here")
     headers = {k.strip().lower(): v.strip() for k, _, v in (f.partition(":") for f in fields)}
-    size = int(headers.get("content-length", len(rest)))
+    given = headers.get("content-length", str(len(rest)))
+    if not re.fullmatch("[0-9]+", given):
+        raise Damaged(f"a length of {given}")
+    size = int(given)
     if len(rest) < size:
         raise Damaged("the record is cut off")
     block, status = rest[:size], None
@@ -211,23 +229,43 @@ def _records(plan: dict) -> Iterator[dict]:
     packed = plan["member"].endswith(".gz")
     with opened(plan["path"]) as file:
         if plan["offsets"] is None:
-            at = 0
+            before = at = plan["start"] - plan["base"]
             try:
                 for at, length, raw in _sequence(file, plan["start"], plan["size"], packed):
+                    at += before
                     yield where | dict(offset=at, length=length) | _parsed(raw)
-            except (Damaged, zlib.error) as e:
+            except (ValueError, zlib.error) as e:
                 yield where | dict(offset=at, error=str(e))
             return
-        data = _at(file, plan["start"], plan["size"])
+        data = _at(file, plan["start"], max(0, plan["size"]))
         for offset, length in zip(plan["offsets"], plan["lengths"]):
             a = plan["base"] + offset - plan["start"]
             try:
                 raw = data[a : a + length]
+                if offset < 0 or len(raw) < length or length <= 0:
+                    raise Damaged("its index line points outside of the archive")
                 yield where | dict(offset=offset, length=length) | _parsed(zlib.decompress(raw, 31) if packed else raw)
-            except (Damaged, zlib.error) as e:
+            except (ValueError, zlib.error) as e:
                 yield where | dict(offset=offset, length=length, error=str(e))
 
 
+def _safely(plan: dict) -> Iterator[dict]:
+    try:
+        yield from _records(plan)
+    except (OSError, ValueError, zlib.error) as e:  # the archive, not a record
+        yield dict(path=plan["path"], member=plan["member"], offset=plan["start"] - (plan["base"] or 0), error=f"{type(e).__name__}: {e}")
+
+
+def _gaps(places: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
+    """The parts of a member that no index line names, as start and end."""
+    gaps, at = [], 0
+    for offset, length in places:
+        if offset > at:
+            gaps.append((at, offset))
+        at = max(at, offset + length)
+    return [*gaps, (at, size)] if size > at else gaps
+
+
 def read(spark: SparkSession, paths: DataFrame) -> DataFrame:
     """The records of the archives named in the column path: path, member, offset, length, kind, uri, date, record_id,
     status, content and error."""
@@ -249,7 +287,7 @@ def read(spark: SparkSession, paths: DataFrame) -> DataFrame:
             for row in batch.to_pylist():
                 held: list[dict] = []
                 size = 0
-                for record in _records(row):
+                for record in _safely(row):
                     held.append(record)
                     size += len(record.get("content") or b"")
                     if size > RANGE:
@@ -258,9 +296,12 @@ def read(spark: SparkSession, paths: DataFrame) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_pylist(held, _ROW_TYPE)
 
-    planned = paths.select("path").repartition("path").mapInArrow(plan, _PLAN)
-    # ranges, not archives, are what tasks get
-    return planned.repartition("path", "start").mapInArrow(fetch, _ROW)
+    planned = shared.cut(paths.select("path").repartition("path").mapInArrow(plan, _PLAN))
+    # ranges, not archives, are what tasks get: as many tasks as there are ranges of full size, which stay apart although
+    # the rows of the plan are small
+    size = planned.agg(F.sum("size")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // RANGE)
+    return planned.repartition(parts, "path", "start").mapInArrow(fetch, _ROW)
 
 
 def pack(pages: DataFrame, folder: str) -> list[str]:

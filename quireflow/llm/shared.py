@@ -45,6 +45,16 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Puts a folder in the place of another; nothing happens where there is none."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = path(source).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if system.exists(path(source)):
+        system.delete(path(target), True)
+        if not system.rename(path(source), path(target)):
+            raise OSError(f"{source} can't be moved to {target}")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Rows go to Python at most ``ROWS`` at a time, unless the session says otherwise: a batch of documents is held by the
     JVM and by Python."""

@@ -86,7 +86,7 @@ def streams(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _pieces(encoded: DataFrame, width: int) -> DataFrame:
-    """A row for each document: n_ids, digests and data of its chunks, and the root."""
+    """Two rows for each document: its recipe, and the data of its chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = 0
@@ -110,26 +110,39 @@ def _pieces(encoded: DataFrame, width: int) -> DataFrame:
                 none = lists.is_null().to_numpy(zero_copy_only=False)
                 listed = lambda v: pa.ListArray.from_arrays(pa.array(upto, pa.int32()), v)
                 starts = pa.array((begins - np.repeat(offsets[:-1], counts)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(numbers), part.column("doc_id"), pa.array(np.diff(offsets), pa.int64(), mask=none), listed(pa.array(digests, pa.binary())), listed(starts), listed(pa.array(chunks, pa.binary())), pa.array(roots, pa.binary()), pa.array(streams(ids, offsets).view(np.int64))], names=["recipe", "doc_id", "n_ids", "digests", "starts", "data", "root", "stream"])
+                own = [pa.array(numbers), part.column("doc_id"), pa.array(np.diff(offsets), pa.int64(), mask=none), listed(pa.array(digests, pa.binary())), listed(starts), pa.array(roots, pa.binary()), pa.array(streams(ids, offsets).view(np.int64))]
+                held = listed(pa.array(chunks, pa.binary()))
+                for kind, columns, data in (("recipes", own, pa.nulls(len(numbers), held.type)), ("data", [pa.nulls(len(numbers), c.type) for c in own], held)):
+                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(numbers)), *columns, data], names=["kind", "recipe", "doc_id", "n_ids", "digests", "starts", "root", "stream", "data"])
 
-    kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "token_ids").mapInArrow(run, f"recipe bigint, doc_id {kind}, n_ids bigint, digests array<binary>, starts array<int>, data array<binary>, root binary, stream bigint")
+    return encoded.select("doc_id", "token_ids").mapInArrow(run, f"kind string, {_recipe(encoded)}, data array<binary>")
+
+
+def _recipe(encoded: DataFrame) -> str:
+    return f"recipe bigint, doc_id {encoded.schema['doc_id'].dataType.simpleString()}, n_ids bigint, digests array<binary>, starts array<int>, root binary, stream bigint"
 
 
 def write(encoded: DataFrame, path: str, width: int = 4) -> None:
     """doc_id and token_ids (array of int) as a store in the folder ``path``, with ``width`` bytes for an id.
 
-    The chunked documents are written first, so that ids are made and cut once; chunks come from that table.
+    Recipes and the data of their chunks are written in one go, so that ids are made and cut once; chunks come from the
+    latter, which then goes.
     """
     spark = encoded.sparkSession
-    _pieces(encoded, width).write.option("compression", "zstd").parquet(f"{path}/pieces")
-    pieces = spark.read.parquet(f"{path}/pieces")
-    pairs = pieces.select(F.explode(F.arrays_zip("digests", "data")).alias("c")).select("c.digests", "c.data")
-    # equal digests have equal data, so any row stands for all
-    pairs.groupBy(F.col("digests").alias("digest")).agg(F.first("data").alias("data")).select("digest", (F.octet_length("data") / width).cast("int").alias("n_ids"), "data").write.option("compression", "zstd").parquet(f"{path}/chunks")
-    pieces.select("recipe", "doc_id", "n_ids", "digests", "starts", "root", "stream").write.parquet(f"{path}/recipes")
-    manifest(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
+    dense = {"compression": "zstd", "parquet.enable.dictionary": "false"}  # digests and chunks don't recur in a column
+    spark.createDataFrame([], f"{_recipe(encoded)}, data array<binary>").write.mode("overwrite").parquet(f"{path}/recipes")
+    spark.createDataFrame([], "data array<binary>").write.parquet(f"{path}/pieces/kind=data")
+    _pieces(encoded, width).write.mode("append").options(**dense).partitionBy("kind").parquet(f"{path}/pieces")
+    shared.move(spark, f"{path}/pieces/kind=recipes", f"{path}/recipes")
+    # each chunk once; its name follows from its data
+    chunks = spark.read.parquet(f"{path}/pieces/kind=data").select(F.explode("data").alias("data")).distinct()
+    chunks.select(F.unhex(F.sha2("data", 256)).alias("digest"), (F.octet_length("data") / width).cast("int").alias("n_ids"), "data").write.options(**dense).parquet(f"{path}/chunks")
     shared.remove(spark, f"{path}/pieces")
+    manifest(_recipes(spark, path)).write.parquet(f"{path}/manifest")
+
+
+def _recipes(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/recipes").drop("data")
 
 
 def _buckets(recipes: int) -> int:
@@ -180,7 +193,7 @@ def verify(spark: SparkSession, path: str, manifest: DataFrame | None = None) ->
     other and give the polynomial of the whole stream of ids, the root is that of the digests, and, with a manifest, so is
     the root of the recipe's bucket, and those of the nodes above it. A bucket of the manifest without recipes is a row without an id that isn't verified.
     """
-    recipes, chunks = spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/chunks")
+    recipes, chunks = _recipes(spark, path), spark.read.parquet(f"{path}/chunks")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,7 +257,7 @@ def verify(spark: SparkSession, path: str, manifest: DataFrame | None = None) ->
 
 def rebuild(spark: SparkSession, path: str, width: int = 4) -> DataFrame:
     """doc_id and token_ids from a store; a row for each recipe."""
-    recipes, chunks = spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/chunks")
+    recipes, chunks = _recipes(spark, path), spark.read.parquet(f"{path}/chunks")
     parts = recipes.select("recipe", "doc_id", "n_ids", F.posexplode_outer("digests").alias("at", "digest")).join(chunks.select("digest", "data"), "digest", "left")
     whole = parts.groupBy("recipe", "doc_id", "n_ids").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "data"))), lambda x: x["data"]).alias("data"))
 

@@ -256,7 +256,7 @@ def passages(docs: DataFrame, least: int = LEAST, start: int = START, anchor: in
     docs, id_type = _prepared(docs, least, start)
     places, copies = _places(docs, least, start, anchor)
     ranked = _doubled(places, id_type, least, start).select("doc_id", "place", "first")
-    spans = ranked.repartition("doc_id").sortWithinPartitions("doc_id", "place").mapInArrow(run, f"doc_id {id_type}, span_start int, span_end int, n_words int, later_words int")
+    spans = shared.cut(ranked.repartition("doc_id").sortWithinPartitions("doc_id", "place").mapInArrow(run, f"doc_id {id_type}, span_start int, span_end int, n_words int, later_words int"))
     # copies repeat all that the second of their text does, and none of it first
     again = copies.join(spans.select(F.col("doc_id").alias("whole"), "span_start", "span_end", "n_words"), "whole")
     return spans.unionByName(again.select("doc_id", "span_start", "span_end", "n_words", F.col("n_words").alias("later_words")))
