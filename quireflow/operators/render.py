@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -77,24 +77,35 @@ def paged_markdown(pages: DataFrame, blocks: DataFrame, keys: Sequence[str] = ("
     return shown.groupBy(*keys).agg(_finished(F.concat(F.lit("# "), F.first("__title"), F.lit("\n\n"), F.array_join(pieces, "\n\n"))).alias("markdown"))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where the value is found once, however often it is used, even in lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def table_markdown(columns: Column, rows: Column) -> Column:
     """A table of an array of column names and an array of rows (arrays, which may be short or long): cells are padded
     to the widest of their column. No columns give an empty text."""
-    head = F.transform(columns, T.escape_cell)
-    n = F.size(head)
-    cells = F.transform(rows, lambda r: F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.coalesce(T.escape_cell(F.get(r, i - 1)), F.lit(""))))
-    widths = F.aggregate(cells, F.transform(head, F.length), lambda w, r: F.zip_with(w, r, lambda a, b: F.greatest(a, F.length(b))))
-    line = lambda r: F.concat(F.lit("| "), F.array_join(F.zip_with(r, widths, T.pad), " | "), F.lit(" |"))
-    rule = F.concat(F.lit("| "), F.array_join(F.transform(widths, lambda w: F.repeat(F.lit("-"), F.greatest(w, F.lit(3)))), " | "), F.lit(" |"))
-    return F.when(n == 0, "").otherwise(F.array_join(F.concat(F.array(line(head), rule), F.transform(cells, line)), "\n"))
+
+    def table(head: Column, cells: Column) -> Column:
+        widths = F.aggregate(cells, F.transform(head, F.length), lambda w, r: F.zip_with(w, r, lambda a, b: F.greatest(a, F.length(b))))
+
+        def lines(w: Column) -> Column:
+            line = lambda r: F.concat(F.lit("| "), F.array_join(F.zip_with(r, w, T.pad), " | "), F.lit(" |"))
+            rule = F.concat(F.lit("| "), F.array_join(F.transform(w, lambda x: F.repeat(F.lit("-"), F.greatest(x, F.lit(3)))), " | "), F.lit(" |"))
+            return F.array_join(F.concat(F.array(line(head), rule), F.transform(cells, line)), "\n")
+
+        return F.when(F.size(head) == 0, "").otherwise(_let(widths, lines))
+
+    # a row as long as the head: what is too much goes, what lacks is empty
+    fitted = lambda r, head: F.transform(F.arrays_zip(head.alias("h"), F.slice(F.transform(F.coalesce(r, F.array().cast("array<string>")), T.escape_cell), F.lit(1), F.size(head)).alias("c")), lambda x: F.coalesce(x["c"], F.lit("")))
+    return _let(F.transform(columns, T.escape_cell), lambda head: _let(F.transform(rows, lambda r: fitted(r, head)), lambda cells: table(head, cells)))
 
 
 def table_document(title: Column, columns: Column, rows: Column, table_title: Column | None = None) -> Column:
     """A document of one table. table_title: a heading over it."""
-    table = table_markdown(columns, rows)
-    if table_title is not None:
-        table = F.concat(F.when(F.coalesce(table_title, F.lit("")) != "", F.concat(F.lit("## "), table_title, F.lit("\n\n"))).otherwise(""), table)
-    return _finished(F.concat(F.lit("# "), title, F.when(table == "", "").otherwise(F.concat(F.lit("\n\n"), table))))
+    over = F.lit("") if table_title is None else F.when(F.coalesce(table_title, F.lit("")) != "", F.concat(F.lit("## "), table_title, F.lit("\n\n"))).otherwise("")
+    body = lambda table: _finished(F.concat(F.lit("# "), title, F.when(table == "", "").otherwise(F.concat(F.lit("\n\n"), table))))
+    return _let(F.concat(over, table_markdown(columns, rows)), body)
 
 
 def _block_json() -> Column:

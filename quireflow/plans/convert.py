@@ -8,6 +8,7 @@ provider: a function from the bytes to a list of page texts, or to a text.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark import StorageLevel
@@ -171,15 +172,19 @@ def convert(files: DataFrame, form: str, at: str, using: dict[str, tuple[tuple[s
     return R.prettied(out, "output") if form == "json" else out
 
 
-def convert_folder(spark: SparkSession, source: str, target: str, form: str = "markdown", at: str = "1970-01-01T00:00:00Z", using: dict[str, tuple[tuple[str, ...], Converter]] | None = None) -> DataFrame:
-    """Converts the files of a folder into another and gives the report: name, label, extension, status, message and
-    output_path for each entry, ordered by name."""
+def convert_folder(spark: SparkSession, source: str, target: str, form: str = "markdown", at: str | None = None, using: dict[str, tuple[tuple[str, ...], Converter]] | None = None) -> DataFrame:
+    """Converts the files of a folder into another and gives the report: name, label, extension, status, message,
+    output_path, started_at and finished_at for each entry, ordered by name. at: the time that documents are stamped with,
+    now by default."""
     if form not in ("markdown", "json"):
         raise ValueError("form is markdown or json")
+    started = datetime.now(timezone.utc)
+    at = at or started.strftime("%Y-%m-%dT%H:%M:%SZ")
     using = using or converters()
     known = {name: extensions for name, (extensions, _) in using.items()}
     listed = folder.files(spark, source, extensions=[e for extensions in known.values() for e in extensions])
-    described = folder.classify(folder.descriptor(listed), known)
+    # each converter and the report take their rows from this: a file is opened once
+    described = folder.classify(folder.descriptor(listed), known).persist(StorageLevel.DISK_ONLY)
     done = convert(described, form, at, using).persist(StorageLevel.DISK_ONLY_2)
     try:
         extension = {"markdown": "md", "json": "json"}[form]
@@ -190,13 +195,14 @@ def convert_folder(spark: SparkSession, source: str, target: str, form: str = "m
     finally:
         ended = done.select("path", "error").where("error IS NOT NULL").collect()
         done.unpersist()
+        described.unpersist()
     failed = spark.createDataFrame(ended, "path string, failure string")
     wrote = named.join(result.withColumnRenamed("error", "write_error"), "output_path")
-    entries = described.drop("content").join(failed, "path", "left").join(wrote, "path", "left")
+    entries = folder.classify(folder.descriptor(folder.files(spark, source, content=False)), known).join(failed, "path", "left").join(wrote, "path", "left")
     failure = F.coalesce("failure", "write_error")
     return entries.select(
         "name", outputs.label().alias("label"), "extension",
         F.when(F.col("status").isNotNull(), F.col("status")).when(failure.isNotNull(), "failed").otherwise("converted").alias("status"),
         F.when(F.col("status").isNotNull(), F.col("message")).when(failure.isNotNull(), failure).when(F.col("was_renamed"), outputs.renamed_message()).alias("message"),
-        F.when(failure.isNull(), F.col("output_path")).alias("output_path"),
+        F.when(failure.isNull(), F.col("output_path")).alias("output_path"), F.lit(started).alias("started_at"), F.lit(datetime.now(timezone.utc)).alias("finished_at"),
     ).orderBy(*folder.scan_order())

@@ -98,7 +98,7 @@ def code_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.concat(F.translate(F.substring(F.element_at(F.split("text", "\n", -1), 1), 1, 40), " .,", "_-_"), F.when(F.col("doc_id") % 3 == 0, ".md").when(F.col("doc_id") % 3 == 1, "_PDF2-NASA.tar").otherwise(""))
+    name = F.concat(F.translate(F.element_at(F.split("text", "\n", -1), 1), " .,", "_-_"), F.when(F.col("doc_id") % 3 == 0, ".md").when(F.col("doc_id") % 3 == 1, "_PDF2-NASA.tar").otherwise(""))
     return documents(spark, sf_dir).where("text IS NOT NULL").select("doc_id", T.title(name).alias("title"))
 
 
@@ -195,7 +195,7 @@ SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce({duck.joined("m")},
     "wrap_text": f"SELECT 'd' AS kind, doc_id, {duck.wrap(_FLAT, 'doc_id % 13')} AS wrapped FROM documents UNION ALL SELECT 'b', item_id, {duck.wrap(_FLAT)} FROM benchmark",
     "code_fences": """SELECT doc_id, f || chr(10) || text || b || chr(10) || f AS fenced FROM (SELECT doc_id, text, repeat('`', (doc_id % 7)::INTEGER) AS b,
   repeat('`', greatest(3, 1 + coalesce(list_max(list_transform(regexp_extract_all(text || repeat('`', (doc_id % 7)::INTEGER), '`+'), lambda x: length(x))), 0))::INTEGER) AS f FROM documents)""",
-    "text_titles": f"SELECT doc_id, {duck.title('name')} AS title FROM (SELECT doc_id, translate(left(string_split(text, chr(10))[1], 40), ' .,', '_-_') || CASE doc_id % 3 WHEN 0 THEN '.md' WHEN 1 THEN '_PDF2-NASA.tar' ELSE '' END AS name FROM documents WHERE text IS NOT NULL)",
+    "text_titles": f"SELECT doc_id, {duck.title('name')} AS title FROM (SELECT doc_id, translate(string_split(text, chr(10))[1], ' .,', '_-_') || CASE doc_id % 3 WHEN 0 THEN '.md' WHEN 1 THEN '_PDF2-NASA.tar' ELSE '' END AS name FROM documents WHERE text IS NOT NULL)",
     "render_markdown": _markdown_sql("", "documents"),
     "render_markdown_marked": _markdown_sql(f"{MARKED}, ", "marked"),
     "render_json": f"""WITH {MARKED}, {duck.blocks('marked', 'doc_id')}, j AS (SELECT doc_id, count(*) AS n, '"blocks":[' || string_agg({_JSON_BLOCK}, ',' ORDER BY "order") || ']' AS b FROM p_blocks GROUP BY doc_id)

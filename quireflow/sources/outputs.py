@@ -83,9 +83,14 @@ def renamed_message(path: str = "output_path"):
 
 
 def summary(report: DataFrame) -> DataFrame:
-    """total, converted, skipped, failed and summary of a report (status)."""
+    """total, converted, skipped, failed and summary of a report (status), and, where it has the times, started_at,
+    finished_at and duration in seconds."""
     n = lambda s: F.count_if(F.col("status") == s).alias(s)
-    counted = report.agg(F.count("*").alias("total"), n("converted"), n("skipped"), n("failed"))
+    timed = {"started_at", "finished_at"} <= set(report.columns)
+    times = [F.min("started_at").alias("started_at"), F.max("finished_at").alias("finished_at")] if timed else []
+    counted = report.agg(F.count("*").alias("total"), n("converted"), n("skipped"), n("failed"), *times)
+    if timed:
+        counted = counted.withColumn("duration", F.col("finished_at").cast("double") - F.col("started_at").cast("double"))
     return counted.withColumn("summary", F.format_string("Converted %d of %d files (Skipped %d, Failed %d).", "converted", "total", "skipped", "failed"))
 
 

@@ -6,10 +6,13 @@ import io
 import json
 import os
 import plistlib
+import time
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
+from quireflow.operators import render as R
 from quireflow.operators import values as V
 from quireflow.plans import convert
 from quireflow.sources import importers, outputs
@@ -119,6 +122,8 @@ def test_a_stream_of_files(spark, source, tmp_path):
     done.awaitTermination()
     names = set(os.listdir(tmp_path / "out"))
     assert {"data.md", "tree.md", "tool.md"} <= names
+    report = {os.path.basename(r.path): r for r in spark.read.parquet(str(tmp_path / "state" / "report")).collect()}
+    assert report["bad.json"].status == report["scan.png"].status == "failed" and report["data.json"].status == "converted"
     before = len(names)
     drop.convert_stream(spark, str(source), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert len(os.listdir(tmp_path / "out")) == before
@@ -142,3 +147,31 @@ def test_odt_and_webarchive():
     assert [(p.text, p.max_size) for p in importers.odt(out.getvalue())] == [("Top", 24.0), ("a b", 12.0)]
     packed = plistlib.dumps({"WebMainResource": {"WebResourceData": b"<p>hi</p>", "WebResourceTextEncodingName": "utf-8"}})
     assert [p.text for p in importers.webarchive(packed)] == ["hi"]
+
+
+def test_files_that_parsers_choke_on_are_rows_of_the_report(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    good = docx(("Title", "Memo"), ("Normal", "words " * 200))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", "<a>" + "text " * 500 + "</a>")
+    damaged = bytearray(packed.getvalue())
+    damaged[60:90] = b"\xff" * 30
+    locked = bytearray(good)
+    locked[6] |= 1
+    locked[bytes(locked).rindex(b"PK\x01\x02") + 8] |= 1
+    for name, content in (("good.docx", good), ("damaged.docx", bytes(damaged)), ("locked.docx", bytes(locked)), ("broken.webarchive", b"<?xml version='1.0'?><plist><dict><key>"), ("deep.html", b"<p>fine</p>")):
+        (folder / name).write_bytes(content)
+    report = convert.convert_folder(spark, str(folder), str(tmp_path / "out"))
+    assert {r.name: r.status for r in report.collect()} == {"good.docx": "converted", "deep.html": "converted", "damaged.docx": "failed", "locked.docx": "failed", "broken.webarchive": "failed"}
+    told = outputs.summary(report).first()
+    assert (told.total, told.converted, told.failed) == (5, 2, 3) and told.duration > 0 and told.started_at <= told.finished_at
+
+
+def test_a_long_table_takes_time_in_proportion(spark):
+    rows = [[str(i), "x|y", None] if i % 2 else [str(i)] for i in range(20_000)]
+    df = spark.createDataFrame([(["a", "b", "c"], rows)], "c array<string>, r array<array<string>>")
+    started = time.perf_counter()
+    text = df.select(R.table_document(F.lit("T"), F.col("c"), F.col("r")).alias("t")).first().t
+    assert time.perf_counter() - started < 15 and text.count("\n") == 20_004 and "| 19999 | x\\|y |   |" in text
