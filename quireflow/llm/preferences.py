@@ -29,10 +29,16 @@ def _rendered(turns: Column) -> Column:
 def _mask(turns: Column, before: Column) -> Column:
     """Places of the assistant turns, where ``before`` characters come before the turns."""
     size = lambda t: F.length(_turn(t))
-    start = lambda i: before + F.aggregate(F.slice(turns, F.lit(1), i), F.lit(0), lambda total, t: total + size(t))
     head = lambda t: F.length(t["role"]) + len(START + MIDDLE)
-    spans = F.transform(turns, lambda t, i: F.when(t["role"] == "assistant", F.struct((start(i) + head(t)).alias("start"), (start(i) + size(t) - len(STOP)).alias("end"))))
-    return F.filter(spans, lambda s: s.isNotNull())
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def add(done: Column, t: Column) -> Column:
+        after = done["at"] + size(t)
+        span = F.struct((done["at"] + head(t)).alias("start"), (after - len(STOP)).alias("end"))
+        return F.struct(after.alias("at"), F.when(t["role"] == "assistant", F.concat(done["spans"], F.array(span))).otherwise(done["spans"]).alias("spans"))
+
+    # one pass with a running place
+    return F.aggregate(turns, F.struct(before.alias("at"), none.alias("spans")), add, lambda done: done["spans"])
 
 
 def paired(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
