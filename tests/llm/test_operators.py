@@ -455,7 +455,8 @@ def test_passages_by_brute_force(spark, monkeypatch, least, start, most_sent):
 
 
 def test_rounds_of_doubling_are_in_the_plan(spark):
-    plan = suffixes.passages(frame(spark, [(1, "a b")]))._jdf.queryExecution().optimizedPlan().toString()
+    places = spark.createDataFrame([], "r1 int, r2 int, doc_id long, place int")
+    plan = suffixes._doubled(places, "bigint", suffixes.LEAST, suffixes.START)._jdf.queryExecution().analyzed().toString()
     assert plan.count("RepartitionByExpression [r1") >= 2 and suffixes.LEAST > 2 * suffixes.START
 
 
