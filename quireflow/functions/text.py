@@ -31,15 +31,15 @@ def line_feeds(c: Column | str) -> Column:
     return F.regexp_replace(_col(c), "\r\n?", "\n")
 
 
-def looks_like_heading(c: Column | str) -> Column:
+def looks_like_heading(c: Column | str, flat: Column | None = None) -> Column:
     """At most 80 characters and 10 words, three letters, no full stop at the end, and all capitals or at most one word
-    without a capital first."""
-    t = collapse(c)
-    words = F.when(t == "", 0).otherwise(F.length(F.regexp_replace(t, "[^ ]", "")) + 1)
-    letters = F.regexp_count(t, F.lit(r"\p{IsAlphabetic}"))
-    capitals = F.regexp_count(t, F.lit(r"\p{IsUppercase}"))
+    without a capital first. flat: the text collapsed, where a column has it, as it is looked at several times."""
+    t = collapse(c) if flat is None else flat
+    spaces = F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit("")))
+    letters = t.rlike(r"^(?:\P{IsAlphabetic}*+\p{IsAlphabetic}){3}")
+    small = t.rlike(r"[\p{IsAlphabetic}&&\P{IsUppercase}]")
     titled = F.regexp_count(t, F.lit(r"(?:^| )\p{IsUppercase}"))
-    return (F.length(_col(c)) <= 80) & ~t.endswith(".") & words.between(1, 10) & (letters >= 3) & ((capitals == letters) | (titled >= F.greatest(F.lit(1), words - 1)))
+    return (F.length(_col(c)) <= 80) & ~t.endswith(".") & (t != "") & (spaces <= 9) & letters & (~small | (titled >= F.greatest(F.lit(1), spaces)))
 
 
 def join_lines(lines: Column | str) -> Column:
