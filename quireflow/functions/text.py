@@ -56,10 +56,11 @@ def indent_width(space: Column | str) -> Column:
 def wrap(text: Column | str, indent: Column | int = 0) -> Column:
     """Lines of at most 90 characters with the indent, or 10 without it; longer words stay whole. The text has no white
     space to spare."""
-    width = F.greatest(F.lit(WRAP) - (F.lit(indent) if isinstance(indent, int) else indent), F.lit(10)).cast("string")
-    wider = F.greatest(F.lit(WRAP + 1) - (F.lit(indent) if isinstance(indent, int) else indent), F.lit(11)).cast("string")
-    pattern = F.concat(F.lit(r"([^ ]{"), wider, F.lit(r",}|.{1,"), width, F.lit(r"})( |$)"))
-    return F.regexp_replace(F.regexp_replace(_col(text), pattern, F.lit("$1\n")), "\n$", "")
+    indent = F.lit(indent) if isinstance(indent, int) else indent
+    width = F.greatest(F.lit(WRAP) - indent, F.lit(10))
+    pattern = F.concat(F.lit(r"([^ ]{"), (width + 1).cast("string"), F.lit(r",}|.{1,"), width.cast("string"), F.lit(r"})( |$)"))
+    # most texts fit: the pattern, which is another one for each width, is for the rest
+    return F.when(F.length(_col(text)) <= width, _col(text)).otherwise(F.regexp_replace(F.regexp_replace(_col(text), pattern, F.lit("$1\n")), "\n$", ""))
 
 
 def fence(text: Column | str) -> Column:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from conftest import SMALL
 from quireflow import catalog
+from quireflow.functions import text as T
 from quireflow.operators import rich
 
 
@@ -17,3 +20,14 @@ def test_rich_blocks_try_each_pattern_once(spark):
     # the marker, and the text after it where there is one
     assert plan.count(rich.LIST) == 2
     assert plan.count("{IsUppercase}]") == 1
+
+
+def test_texts_that_fit_are_not_wrapped_by_pattern(spark):
+    texts = [("x" * n + tail, indent) for n in (0, 1, 9, 10, 11, 84, 88, 89, 90, 91, 200) for tail in ("", " y", " yy zz") for indent in (0, 2, 85)]
+    df = spark.createDataFrame([(t.strip(), i) for t, i in texts], "text string, indent int").withColumn("wrapped", T.wrap("text", F.col("indent")))
+    assert "length(text" in optimized(df)
+    for r in df.collect():
+        width = max(90 - r.indent, 10)
+        lines = r.wrapped.split("\n")
+        assert " ".join(lines) == r.text and all(len(line) <= width or " " not in line for line in lines)
+        assert all(len(a) + 1 + len(b.split(" ")[0]) > width for a, b in zip(lines, lines[1:]))
