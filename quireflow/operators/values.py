@@ -43,7 +43,21 @@ def number_text(text: str) -> str | None:
     return "0" if plain in ("-0", "") else plain
 
 
+_PLAIN = re.compile(r"0|-?[1-9][0-9]{0,37}").fullmatch
+#: As json.dumps without ensure_ascii, which makes an encoder each time.
+_string = json.JSONEncoder(ensure_ascii=False).encode
+
+
 def canonical(value: Any) -> str:
+    kind = type(value)
+    if kind is str:
+        return _string(value)
+    if kind is _Number and _PLAIN(value):
+        return str(value)
+    if kind is dict:
+        return "{" + ",".join([f"{_string(k)}:{canonical(value[k])}" for k in sorted(value)]) + "}"
+    if kind is list:
+        return "[" + ",".join(map(canonical, value)) + "]"
     if isinstance(value, _Number):
         fits = number_text(value)
         return json.dumps(str(value)) if fits is None else fits
@@ -62,9 +76,15 @@ def _refuse(text: str) -> Any:
     raise ValueError(text)
 
 
+#: One for all texts: ``json.loads`` with hooks makes a decoder each time.
+_DECODER = json.JSONDecoder(parse_float=_Number, parse_int=_Number, parse_constant=_refuse)
+
+
 def loads(text: str) -> Any:
     """Strict JSON, numbers as their text."""
-    return json.loads(text, parse_float=_Number, parse_int=_Number, parse_constant=_refuse)
+    if text.startswith("\ufeff"):
+        raise ValueError("byte order mark")
+    return _DECODER.decode(text)
 
 
 def from_json(text: str) -> Any:
@@ -159,6 +179,14 @@ def _column(parser: Callable[[Any], Any], content: Column | str) -> Column:
     return run(F.col(content) if isinstance(content, str) else content)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows by their keys over four tasks for each core, or a quarter of the shuffle partitions if those are more: a
+    table of few bytes is one split of a file, so one task, and parsing its rows takes long."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")) // 4, 4 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def json_value(text: Column | str) -> Column:
     return _column(from_json, text)
 
@@ -203,46 +231,48 @@ def ini_json(docs: DataFrame, keys: Sequence[str] = ("doc_id",), text: str = "te
     return docs.select(*keys).join(made, list(keys), "left").select(*keys, F.coalesce("value", F.lit("{}")).alias("value"))
 
 
+_RUNS = re.compile(f"[{_SPACES}]+")
+
+
+def _collapsed(text: str) -> str:
+    if text.isprintable():  # no white space but the space
+        return " ".join(text.split())
+    return _RUNS.sub(" ", text).strip(" ")
+
+
 def value_items(value: str) -> list[tuple[int, int, str]]:
     """(order, depth, text) of the list items that a value in JSON reads as."""
     out: list[tuple[int, int, str]] = []
-
-    def add(text: str, depth: int) -> None:
-        out.append((len(out) + 1, depth, " ".join(w for w in re.split(f"[{_SPACES}]+", text) if w)))
-
     # a stack in place of recursion: values may be deep
     todo: list[tuple[Any, str | None, int]] = [(loads(value), None, 0)]
     while todo:
         v, key, depth = todo.pop()
-        if isinstance(v, (dict, list)):
+        kind = type(v)
+        if kind is dict or kind is list:
             if key is not None:
-                add(f"{key}:", depth)
+                out.append((len(out) + 1, depth, _collapsed(f"{key}:")))
             inner = depth + (key is not None)
-            if isinstance(v, dict):
+            if kind is dict:
                 todo += [(v[k], k, inner) for k in sorted(v, reverse=True)]
-            else:
-                for i in reversed(range(len(v))):
-                    if isinstance(v[i], (dict, list)):
-                        todo += [(v[i], None, inner + 1), (_Mark(f"Item {i + 1}:"), None, inner)]
-                    else:
-                        todo.append((v[i], None, inner))
+                continue
+            for i in range(len(v) - 1, -1, -1):
+                if type(v[i]) in (dict, list):
+                    todo += [(v[i], None, inner + 1), (f"Item {i + 1}:", None, inner)]
+                else:
+                    todo.append((v[i], None, inner))
             continue
-        text = str(v) if isinstance(v, str) else json.dumps(v)
-        add(text if key is None else f"{key}: {text}", depth)
+        text = v if isinstance(v, str) else json.dumps(v)
+        out.append((len(out) + 1, depth, _collapsed(text if key is None else f"{key}: {text}")))
     return out
 
 
-class _Mark(str):
-    """The text of an item's own line."""
-
-
 def value_blocks(values: DataFrame, keys: Sequence[str] = ("doc_id",), value: str = "value") -> DataFrame:
     """Blocks of the list items of values in canonical JSON."""
 
     @F.pandas_udf("array<struct<order:int,list_depth:int,text:string>>")
     def items(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            yield pd.Series([None if v is None else [dict(order=o, list_depth=d, text=t) for o, d, t in value_items(v)] for v in part], dtype=object)
+            yield pd.Series([None if v is None else [{"order": o, "list_depth": d, "text": t} for o, d, t in value_items(v)] for v in part], dtype=object)
 
     found = values.select(*keys, F.explode(items(F.col(value))).alias("i"))
     return found.select(*keys, "i.order", F.lit("listItem").alias("type"), "i.text", F.lit(None).cast("int").alias("heading_level"), F.lit("unordered").alias("list_style"), "i.list_depth", F.lit(None).cast("bigint").alias("list_index"))

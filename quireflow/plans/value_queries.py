@@ -13,13 +13,14 @@ from quireflow.plans.text_queries import AT, table
 
 
 def _props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), V.json_value("props").alias("v"))
+    events = V.spread(table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), "props"), "doc_id")
+    parsed = events.select("doc_id", V.json_value("props").alias("v"))
     return parsed.select("doc_id", "v.value", "v.error")
 
 
 def json_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical JSON of event properties; every seventh is cut short, so that it can't be read."""
-    events = table(spark, sf_dir, "events")
+    events = V.spread(table(spark, sf_dir, "events").select("event_id", "props"), "event_id")
     text = F.when(F.col("event_id") % 7 == 0, F.concat("props", F.lit(" x"))).otherwise(F.col("props"))
     return events.select("event_id", V.json_value(text).alias("v")).select("event_id", "v.value", "v.error")
 
@@ -32,7 +33,8 @@ def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as nested JSON, with spare white space and digits."""
     c = F.col
     text = F.concat(F.lit('{"name": "  '), c("c_name"), F.lit('  x",\n "nation": {"key": '), c("c_nationkey").cast("string"), F.lit('.50, "tags": ["a  b", [1, 2], {"x": null, "y": true}, []]}, "Zed": [], "id": '), c("c_custkey").cast("string"), F.lit(', "kids": [[["deep"]], "'), c("c_mktsegment"), F.lit('"]}'))
-    return table(spark, sf_dir, "customer").select(c("c_custkey").alias("doc_id"), V.json_value(text)["value"].alias("value"))
+    customers = V.spread(table(spark, sf_dir, "customer").select(c("c_custkey").alias("doc_id"), "c_custkey", "c_name", "c_nationkey", "c_mktsegment"), "doc_id")
+    return customers.select("doc_id", V.json_value(text)["value"].alias("value"))
 
 
 _NESTED = """nested AS (SELECT c_custkey AS doc_id, '{"name": "  ' || c_name || '  x", "nation": {"key": ' || c_nationkey || '.5, "tags": ["a  b", [1, 2], {"x": null, "y": true}, []]}, "Zed": [], "id": ' || c_custkey || ', "kids": [[["deep"]], "' || c_mktsegment || '"]}' AS value FROM customer)"""
@@ -108,7 +110,8 @@ def delimited_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 def delimited_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts written as delimited text and read again."""
     made = F.concat_ws(",", F.col("p_partkey").cast("string"), F.concat(F.lit('"'), F.replace("p_name", F.lit('"'), F.lit('""')), F.lit('"')), "p_brand", "p_type", F.col("p_size").cast("string"))
-    cells = table(spark, sf_dir, "part").select(D.rows(made).alias("c")).select(F.get("c", F.lit(0)).alias("r"))
+    parts = V.spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"), "p_partkey")
+    cells = parts.select(D.rows(made).alias("c")).select(F.get("c", F.lit(0)).alias("r"))
     return cells.select(F.get("r", F.lit(0)).cast("bigint").alias("p_partkey"), F.get("r", F.lit(1)).alias("p_name"), F.get("r", F.lit(2)).alias("p_brand"), F.get("r", F.lit(3)).alias("p_type"), F.get("r", F.lit(4)).cast("int").alias("p_size"))
 
 
@@ -149,14 +152,16 @@ def xml_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as XML with attributes, equal children, mixed text, CDATA and an empty leaf; every ninth is cut short."""
     c = F.col
     text = F.concat(F.lit('<?xml version="1.0"?><s:supplier id="'), c("s_suppkey").cast("string"), F.lit('"> of <name> '), c("s_name"), F.lit(" </name><tag>a</tag><tag k='&lt;'/><![CDATA[<x>]]><tag>b &amp; c</tag><none/>"), F.when(c("s_suppkey") % 9 == 0, "").otherwise("</s:supplier>"))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", V.xml_value(text).alias("v")).select("s_suppkey", "v.value", "v.error")
+    suppliers = V.spread(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_suppkey")
+    return suppliers.select("s_suppkey", V.xml_value(text).alias("v")).select("s_suppkey", "v.value", "v.error")
 
 
 def plist_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as property lists with every sort of value."""
     c = F.col
     text = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><plist version="1.0"><dict><key>name</key><string>'), c("s_name"), F.lit("</string><key>id</key><integer>"), c("s_suppkey").cast("string"), F.lit("</integer><key>half</key><real>0.50</real><key>on</key><true/><key>at</key><date>2024-02-03T04:05:06Z</date><key>data</key><data>aGk=</data><key>all</key><array><false/><integer>-7</integer></array></dict>"), F.when(c("s_suppkey") % 9 == 0, "").otherwise("</plist>"))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", V.plist_value(text).alias("v")).select("s_suppkey", "v.value", "v.error")
+    suppliers = V.spread(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_suppkey")
+    return suppliers.select("s_suppkey", V.plist_value(text).alias("v")).select("s_suppkey", "v.value", "v.error")
 
 
 _BODY = "WITH RECURSIVE"

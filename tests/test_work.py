@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SMALL
@@ -22,6 +23,13 @@ def test_rich_blocks_try_each_pattern_once(spark):
     assert plan.count("{IsUppercase}]") == 1
 
 
+@pytest.mark.parametrize("name", ["json_normalised", "value_items", "value_items_nested", "value_markdown", "value_json", "xml_values", "plist_values", "delimited_roundtrip"])
+def test_rows_of_small_files_are_spread_before_they_are_parsed(spark, name):
+    plan = optimized(catalog.QUERIES[name](spark, SMALL)).splitlines()
+    parsed = [i for i, line in enumerate(plan) if "ArrowEvalPython" in line]
+    assert parsed and "RepartitionByExpression" in "".join(plan[parsed[-1] :])
+
+
 def test_texts_that_fit_are_not_wrapped_by_pattern(spark):
     texts = [("x" * n + tail, indent) for n in (0, 1, 9, 10, 11, 84, 88, 89, 90, 91, 200) for tail in ("", " y", " yy zz") for indent in (0, 2, 85)]
     df = spark.createDataFrame([(t.strip(), i) for t, i in texts], "text string, indent int").withColumn("wrapped", T.wrap("text", F.col("indent")))
