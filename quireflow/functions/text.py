@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space of Unicode, for a character class.
 SPACE = r"\t\n\x0B\f\r \x85\xA0  -     　"
+_WHITE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: White space that isn't one space between words; printable ASCII, most of a text, is told by two comparisons.
+_OTHER = f"[[^ -~]&&[{SPACE}]]"
+_SPARE = f" [{SPACE}]+|{_OTHER}[{SPACE}]*"
 #: Characters that end a line.
 BREAK = r"[\n\x0B\f\r\x85  ]"
+_RARE_BREAKS = ("\x0b", "\f", "\x85", "\u2028", "\u2029")
 WRAP = 90
 _JOINT = "\u0001"
 
@@ -18,17 +25,29 @@ def _col(c: Column | str) -> Column:
 
 
 def trim(c: Column | str) -> Column:
-    return F.regexp_replace(_col(c), f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.trim(_col(c), F.lit(_WHITE))
 
 
 def collapse(c: Column | str) -> Column:
     """One space for each run of white space, none at the ends."""
-    return F.trim(F.regexp_replace(_col(c), f"[{SPACE}]+", " "))
+    return F.trim(F.regexp_replace(_col(c), _SPARE, " "))
+
+
+def collapsed(name: str) -> Column:
+    """A column collapsed; as most need only a look, it is read several times, so not for an expression."""
+    c = F.col(name)
+    return F.trim(F.when(c.contains("  ") | c.rlike(_OTHER), F.regexp_replace(c, _SPARE, " ")).otherwise(c))
 
 
 def line_feeds(c: Column | str) -> Column:
     """CRLF and CR as LF."""
-    return F.regexp_replace(_col(c), "\r\n?", "\n")
+    return F.when(_col(c).contains("\r"), F.regexp_replace(_col(c), "\r\n?", "\n")).otherwise(_col(c))
+
+
+def split_lines(c: Column | str) -> Column:
+    """The lines of a text without CR. Few texts have other breaks than line feeds: the pattern is for those."""
+    rare = functools.reduce(Column.__or__, (_col(c).contains(x) for x in _RARE_BREAKS))
+    return F.when(rare, F.split(_col(c), BREAK, -1)).otherwise(F.split(_col(c), "\n", -1))
 
 
 def looks_like_heading(c: Column | str, flat: Column | None = None) -> Column:
@@ -39,13 +58,15 @@ def looks_like_heading(c: Column | str, flat: Column | None = None) -> Column:
     letters = t.rlike(r"^(?:\P{IsAlphabetic}*+\p{IsAlphabetic}){3}")
     small = t.rlike(r"[\p{IsAlphabetic}&&\P{IsUppercase}]")
     titled = F.regexp_count(t, F.lit(r"(?:^| )\p{IsUppercase}"))
-    return (F.length(_col(c)) <= 80) & ~t.endswith(".") & (t != "") & (spaces <= 9) & letters & (~small | (titled >= F.greatest(F.lit(1), spaces)))
+    look = ~t.endswith(".") & (t != "") & (spaces <= 9) & letters & (~small | (titled >= F.greatest(F.lit(1), spaces)))
+    # by cases, as what a conjunction uses twice is found for all rows
+    return F.when(F.length(_col(c)) <= 80, look).when(F.length(_col(c)) > 80, False)
 
 
 def join_lines(lines: Column | str) -> Column:
     """An array of lines without white space to spare as one text: a hyphen before a line that begins with a letter goes."""
     joined = F.array_join(_col(lines), _JOINT)
-    return F.replace(F.regexp_replace(joined, rf"-{_JOINT}(?=\p{{IsAlphabetic}})", ""), F.lit(_JOINT), F.lit(" "))
+    return F.when(joined.contains(_JOINT), F.replace(F.regexp_replace(joined, rf"-{_JOINT}(?=\p{{IsAlphabetic}})", ""), F.lit(_JOINT), F.lit(" "))).otherwise(joined)
 
 
 def indent_width(space: Column | str) -> Column:
@@ -58,9 +79,15 @@ def wrap(text: Column | str, indent: Column | int = 0) -> Column:
     space to spare."""
     indent = F.lit(indent) if isinstance(indent, int) else indent
     width = F.greatest(F.lit(WRAP) - indent, F.lit(10))
-    pattern = F.concat(F.lit(r"([^ ]{"), (width + 1).cast("string"), F.lit(r",}|.{1,"), width.cast("string"), F.lit(r"})( |$)"))
+    c, least, most = _col(text), (width + 1).cast("string"), width.cast("string")
+    line = F.concat(F.lit("([^ ]{"), least, F.lit(",}|.{1,"), most, F.lit("})"))
+    # what is left after the last break fits, or is one word: each match ends with a space that becomes a break
+    broken = F.regexp_replace(c, F.concat(F.lit(r"\G(?=.{"), least, F.lit("})"), line, F.lit(" ")), F.lit("$1\n"))
+    # joined lines have a space to spare where one ended with the character that joins them
+    spare = c.startswith(" ") | c.endswith(" ") | c.contains("  ")
+    loose = F.rtrim(F.regexp_replace(c, F.concat(line, F.lit("( |$)")), F.lit("$1\n")), F.lit("\n"))
     # most texts fit: the pattern, which is another one for each width, is for the rest
-    return F.when(F.length(_col(text)) <= width, _col(text)).otherwise(F.regexp_replace(F.regexp_replace(_col(text), pattern, F.lit("$1\n")), "\n$", ""))
+    return F.when(F.length(c) <= width, c).when(spare, loose).otherwise(broken)
 
 
 def fence(text: Column | str) -> Column:

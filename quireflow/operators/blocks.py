@@ -33,8 +33,29 @@ def list_index(marker: Column) -> Column:
 
 def lines(docs: DataFrame, keys: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
     """keys, pos, raw and t (without white space at the ends), a row for each line; bullets become hyphens."""
-    clean = F.replace(T.line_feeds(text), F.lit("•"), F.lit("- "))
-    return docs.select(*keys, F.posexplode(F.split(clean, T.BREAK, -1)).alias("pos", "raw")).withColumn("t", T.trim("raw"))
+    c = F.col
+    clean = docs.select(*keys, T.line_feeds(text).alias("__clean"))
+    split = clean.select(*keys, F.posexplode(T.split_lines("__clean")).alias("pos", "__line"))
+    raw = F.when(c("__line").contains("•"), F.replace("__line", F.lit("•"), F.lit("- "))).otherwise(c("__line"))
+    return split.select(*keys, "pos", raw.alias("raw")).withColumn("t", T.trim("raw"))
+
+
+def _told(numbered: DataFrame) -> DataFrame:
+    """Adds to lines what each tells by itself: rule (the first character of an underline, else empty), blank, hashes and
+    marker (of a heading and a list item, else empty), indent, piece (what it has for the text of its block) and look
+    (whether it looks like a heading)."""
+    c = F.col
+    df = numbered.withColumns({
+        "rule": F.when((c("t").startswith("=") | c("t").startswith("-")) & c("t").rlike(UNDERLINE), F.substring("t", 1, 1)).otherwise(""),
+        "blank": c("t") == "",
+        "hashes": F.when(c("t").startswith("#"), F.regexp_extract("t", ATX, 1)).otherwise(""),
+        "marker": F.regexp_extract("raw", LIST, 2),
+    })
+    listed = c("marker") != ""
+    space = F.when(listed, F.regexp_extract("raw", LIST, 1)).when(c("raw").startswith(" ") | c("raw").startswith("\t"), F.regexp_extract("raw", "^([ \t]*)", 1)).otherwise("")
+    part = F.when(c("hashes") != "", F.regexp_extract("t", ATX, 2)).when(listed, F.regexp_extract("raw", LIST, 3)).otherwise(c("t"))
+    df = df.withColumns({"space": space, "part": part}).withColumn("piece", T.collapsed("part"))
+    return df.withColumns({"indent": T.indent_width("space"), "look": (c("hashes") == "") & ~listed & T.looks_like_heading("t", c("piece"))})
 
 
 def labelled(numbered: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -43,26 +64,24 @@ def labelled(numbered: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFram
     order = Window.partitionBy(*keys).orderBy("pos")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     c = F.col
-    df = numbered.withColumns({"u": c("t").rlike(UNDERLINE), "blank": c("t") == "", "atx": c("t").rlike(ATX), "listed": c("raw").rlike(LIST)})
+    # patterns are tried before the shuffle: the windows carry what they found, and no text but that of the block
+    df, u = _told(numbered), c("rule") != ""
     df = df.withColumns({
-        "next_t": F.lead("t", 1, "").over(order),
+        "next_rule": F.lead("rule", 1, "").over(order),
+        "next_blank": F.lead("blank", 1, True).over(order),
         # lines of a row of underlines are used up in turns, from the first if a heading's text comes before them
-        "nth": c("pos") - F.coalesce(F.max(F.when(~c("u"), c("pos"))).over(upto), F.lit(-1)),
-        "before": F.coalesce(F.last(F.when(~c("u"), ~c("blank") & ~c("atx")), True).over(upto), F.lit(False)),
-    })
-    used = c("u") & (F.when(c("before"), c("nth") % 2 == 1).otherwise(c("nth") % 2 == 0))
-    label = F.when(used, "underline").when(c("blank"), "blank").when(c("atx"), "atx").when(c("next_t").rlike(UNDERLINE), "setext").when(c("listed"), "list").otherwise("other")
-    df = df.withColumn("label", label).withColumns({
-        "indent": F.when(c("label") == "list", T.indent_width(F.regexp_extract("raw", LIST, 1))).otherwise(T.indent_width(F.regexp_extract("raw", "^([ \t]*)", 1))),
-        "marker": F.when(c("label") == "list", F.regexp_extract("raw", LIST, 2)),
+        "nth": c("pos") - F.coalesce(F.max(F.when(~u, c("pos"))).over(upto), F.lit(-1)),
+        "before": F.coalesce(F.last(F.when(~u, ~c("blank") & (c("hashes") == "")), True).over(upto), F.lit(False)),
     })
+    used = u & (F.when(c("before"), c("nth") % 2 == 1).otherwise(c("nth") % 2 == 0))
+    label = F.when(used, "underline").when(c("blank"), "blank").when(c("hashes") != "", "atx").when(c("next_rule") != "", "setext").when(c("marker") != "", "list").otherwise("other")
+    df = df.withColumn("label", label)
     listed = c("label") == "list"
     df = df.withColumns({"item": F.max(F.when(listed, c("pos"))).over(upto), "item_indent": F.last(F.when(listed, c("indent")), True).over(upto)})
     deeper = (c("label") == "other") & (c("indent") > c("item_indent"))
     df = df.withColumn("broken", F.max(F.when(~listed & ~F.coalesce(deeper, F.lit(False)), c("pos"))).over(upto))
     goes_on = F.coalesce(deeper & (F.coalesce(c("broken"), F.lit(-1)) < c("item")), F.lit(False))
-    heading = (c("next_t") == "") & T.looks_like_heading("t")
-    df = df.withColumn("label", F.when(c("label") != "other", c("label")).when(goes_on, "next").when(heading, "heading").otherwise("paragraph"))
+    df = df.withColumn("label", F.when(c("label") != "other", c("label")).when(goes_on, "next").when(c("next_blank") & c("look"), "heading").otherwise("paragraph"))
     again = (c("label") == "paragraph") & F.coalesce(F.lag("label").over(order) == "paragraph", F.lit(False))
     starts = c("label").isin("atx", "setext", "list", "heading") | ((c("label") == "paragraph") & ~again)
     return df.withColumn("starts", starts).withColumn("island", F.sum(c("starts").cast("int")).over(upto))
@@ -72,10 +91,11 @@ def blocks(docs: DataFrame, keys: Sequence[str] = ("doc_id",), text: str = "text
     """keys and the columns of a block. A null text has no blocks."""
     c = F.col
     marked = labelled(lines(docs, keys, text), keys).where(~c("label").isin("blank", "underline"))
-    piece = F.when(c("label") == "atx", F.regexp_extract("t", ATX, 2)).when(c("label") == "list", F.regexp_extract("raw", LIST, 3)).otherwise(c("t"))
-    level = F.when(c("label") == "atx", F.length(F.regexp_extract("t", "^(#+)", 1))).when(c("label") == "setext", F.when(c("next_t").startswith("="), 1).otherwise(2)).when(c("label") == "heading", 1)
+    level = F.when(c("label") == "atx", F.length("hashes")).when(c("label") == "setext", F.when(c("next_rule") == "=", 1).otherwise(2)).when(c("label") == "heading", 1)
+    # a line with a marker that an underline makes a heading keeps the marker
+    piece = F.when((c("label") == "setext") & (c("marker") != ""), F.rtrim(F.concat("marker", F.lit(" "), "piece"))).otherwise(c("piece"))
     head = lambda x: F.max(F.when(c("starts"), x))
-    found = marked.withColumn("piece", T.collapse(piece)).groupBy(*keys, "island").agg(
+    found = marked.withColumn("piece", piece).groupBy(*keys, "island").agg(
         head(F.when(c("label") == "list", "listItem").when(c("label") == "paragraph", "paragraph").otherwise("heading")).alias("type"),
         F.transform(F.array_sort(F.collect_list(F.when(c("piece") != "", F.struct("pos", "piece")))), lambda x: x["piece"]).alias("pieces"),
         head(level).cast("int").alias("heading_level"),
@@ -83,5 +103,5 @@ def blocks(docs: DataFrame, keys: Sequence[str] = ("doc_id",), text: str = "text
         head(F.when(c("label") == "list", F.floor(c("indent") / 2))).cast("int").alias("list_depth"),
         head(F.when(c("label") == "list", list_index(c("marker")))).alias("list_index"),
     )
-    joined = found.withColumn("text", T.join_lines("pieces")).where("text <> ''")
+    joined = found.where("size(pieces) > 0").withColumn("text", T.join_lines("pieces"))
     return joined.withColumn("order", F.row_number().over(Window.partitionBy(*keys).orderBy("island"))).select(*keys, *COLUMNS)

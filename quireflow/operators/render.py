@@ -47,12 +47,20 @@ def block_lines(base: Column | int) -> Column:
 def _body(blocks: DataFrame, keys: Sequence[str], base: int | None) -> DataFrame:
     """keys, body and headed (whether the first block is a heading). Blocks are a blank line apart, list items not. base:
     the level of a heading of level 1; without one, 1 where the first block is a heading and else 2."""
-    order = Window.partitionBy(*keys).orderBy("order")
-    shown = blocks.where((F.col("text") != "") | (F.col("type") == "code"))
-    first = shown.withColumns({"headed": F.first("type").over(order) == "heading", "between": F.when(F.lag("type").over(order).isNull(), "").when((F.lag("type").over(order) == "listItem") & (F.col("type") == "listItem"), "\n").otherwise("\n\n")})
-    level = F.when(F.col("headed"), 1).otherwise(2) if base is None else F.lit(base)
-    pieces = F.array_sort(F.collect_list(F.struct("order", F.concat("between", block_lines(level)).alias("piece"))))
-    return first.groupBy(*keys).agg(F.array_join(F.transform(pieces, lambda x: x["piece"]), "").alias("body"), F.max("headed").alias("headed"))
+    c = F.col
+    shown = blocks.where((c("text") != "") | (c("type") == "code"))
+    # only the marks of a heading depend on the first block
+    lines = F.when(c("type") == "heading", c("text")).otherwise(block_lines(1))
+    listed = shown.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("order", "type", "heading_level", lines.alias("lines")))).alias("__blocks"))
+    first = listed.withColumn("headed", F.get("__blocks", F.lit(0))["type"] == "heading")
+    level = F.when(c("headed"), 1).otherwise(2) if base is None else F.lit(base)
+
+    def piece(x: Column, i: Column) -> Column:
+        before = F.get("__blocks", i - 1)["type"]
+        between = F.when(i == 0, "").when((before == "listItem") & (x["type"] == "listItem"), "\n").otherwise("\n\n")
+        return F.concat(between, F.when(x["type"] == "heading", heading_line(x["lines"], x["heading_level"], level)).otherwise(x["lines"]))
+
+    return first.select(*keys, F.array_join(F.transform("__blocks", piece), "").alias("body"), "headed")
 
 
 def _finished(c: Column) -> Column:
